@@ -14,7 +14,6 @@ columns don't matter.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -62,22 +61,22 @@ class NoisyOr:
         positive, negative = y.sum(), len(y) - y.sum()
         if not positive or not negative:
             return cls({}, 3.0 if positive else -3.0)
-        bags = [bag(t) for t in texts]
-        with_word = {1: Counter(), 0: Counter()}
-        for b, label in zip(bags, y, strict=True):
-            with_word[int(label)].update({w for s in b for w in s})
-        rank = {}
-        for w in with_word[1].keys() | with_word[0].keys():
-            p, n = with_word[1][w], with_word[0][w]
-            if p + n >= 5:
-                odds = np.log((p + 0.5) / (positive - p + 0.5)) - np.log((n + 0.5) / (negative - n + 0.5))
-                rank[w] = abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        chosen = sorted((w for w in rank if rank[w] > 3), key=lambda w: (-rank[w], w))[:FEATURES]
-        index = {w: i for i, w in enumerate(chosen)}
+        ids: dict[str, int] = {}
+        bags = [[np.unique([ids.setdefault(w, len(ids)) for w in s]).astype(np.int32) for s in bag(t)] for t in texts]
+        per_doc = [np.unique(np.concatenate(b)) for b in bags]
+        p, n = (np.bincount(np.concatenate([d for d, label in zip(per_doc, y, strict=True) if label == c]), minlength=len(ids)) for c in (1, 0))
+        odds = np.log((p + 0.5) / (positive - p + 0.5)) - np.log((n + 0.5) / (negative - n + 0.5))
+        rank = np.where(p + n >= 5, np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)), 0)
+        names = list(ids)
+        chosen = sorted(np.flatnonzero(rank > 3).tolist(), key=lambda i: (-rank[i], names[i]))[:FEATURES]
+        place = np.full(len(ids), -1)
+        place[chosen] = np.arange(len(chosen))
         doc, sent, word = [], [], []
         for d, b in enumerate(bags):
             for s in b:
-                word += (found := sorted({index[w] for w in s if w in index}))
+                found = place[s]
+                found = found[found >= 0].tolist()
+                word += found
                 sent += [len(doc)] * len(found)
                 doc.append(d)
         doc, sent, word = np.array(doc), np.array(sent, int), np.array(word, int)
@@ -95,7 +94,7 @@ class NoisyOr:
             g[:-1] += decay * theta[:-1]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return cls({w: float(theta[i]) for w, i in index.items() if abs(theta[i]) > 1e-3}, float(theta[-1]))
+        return cls({names[w]: float(theta[i]) for i, w in enumerate(chosen) if abs(theta[i]) > 1e-3}, float(theta[-1]))
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of each sentence."""
