@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has the probability s = sigmoid(bias + sum of word
-weights), and the document's is the noisy-or 1 - prod(1 - s). Bias and weights are fitted through
+A document is a bag of sentences. Each sentence has the probability s = sigmoid(bias + sum of the
+weights of its words and word beginnings), and the document's is the noisy-or 1 - prod(1 - s). Bias and weights are fitted through
 that formula from document labels alone, so the sentence scores that follow tell which sentences
 made a document toxic.
 
@@ -25,6 +25,7 @@ from parlance.llm.common import small_batches, with_ids
 #: The classifier is fitted on at most so many labelled documents of each class, taken in hash order.
 SAMPLE_PER_CLASS = 4000
 FEATURES = 2000
+PREFIXES = (3, 4, 5, 6)
 FOLDS = 5
 _sentence = re.compile(r"[^.!?\n]+[.!?]*")
 _word = re.compile(r"\w+")
@@ -48,92 +49,104 @@ def bag(text: str) -> list[list[str]]:
     return [_word.findall(s) for s in _sentence.findall(text.lower())] or [[]]
 
 
+def features(word: str) -> list[str]:
+    """A word stands for itself and for its beginnings, since forms of one stem share them."""
+    return ["=" + word, *(word[:n] for n in PREFIXES if n < len(word))]
+
+
+class _Sums(dict):
+    """Sum of a word's weights, kept for words seen lately."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        z = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return z
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 class NoisyOr:
-    """Word weights and a bias; scores sentences and bags."""
+    """Feature weights and a bias; scores sentences and bags."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, texts: list[str], y: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 2e-4) -> NoisyOr:
+    def fit(cls, texts: list[str], y: list[int], rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> NoisyOr:
         seen = dict(zip(texts, y, strict=True))  # copies of a text count once
         texts, y = list(seen), np.array(list(seen.values()), float)
         positive, negative = y.sum(), len(y) - y.sum()
         if not positive or not negative:
             return cls({}, 3.0 if positive else -3.0)
         ids: dict[str, int] = {}
-        bags = [[np.unique([ids.setdefault(w, len(ids)) for w in s]).astype(np.int32) for s in bag(t)] for t in texts]
-        per_doc = [np.unique(np.concatenate(b)) for b in bags]
-        p, n = (np.bincount(np.concatenate([d for d, label in zip(per_doc, y, strict=True) if label == c]), minlength=len(ids)) for c in (1, 0))
+        bags = [[np.array([ids.setdefault(w, len(ids)) for w in s], np.int32) for s in bag(t)] for t in texts]
+        names: dict[str, int] = {}
+        of_word = [np.array([names.setdefault(f, len(names)) for f in features(w)], np.int32) for w in ids]
+        with_feature = np.zeros((2, len(names)), np.int64)
+        for label, b in zip(y.astype(int).tolist(), bags, strict=True):
+            words = np.unique(np.concatenate(b))
+            if len(words):
+                with_feature[label, np.unique(np.concatenate([of_word[w] for w in words.tolist()]))] += 1
+        n, p = with_feature
         odds = np.log((p + 0.5) / (positive - p + 0.5)) - np.log((n + 0.5) / (negative - n + 0.5))
         rank = np.where(p + n >= 5, np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)), 0)
-        names = list(ids)
+        names = list(names)
         chosen = sorted(np.flatnonzero(rank > 3).tolist(), key=lambda i: (-rank[i], names[i]))[:FEATURES]
-        place = np.full(len(ids), -1)
+        place = np.full(len(names), -1)
         place[chosen] = np.arange(len(chosen))
+        of_word = [(f := place[x])[f >= 0] for x in of_word]
         doc, sent, word = [], [], []
         for d, b in enumerate(bags):
             for s in b:
-                found = place[s]
-                found = found[found >= 0].tolist()
-                word += found
-                sent += [len(doc)] * len(found)
+                for w in s.tolist():
+                    if len(found := of_word[w]):
+                        word += found.tolist()
+                        sent += [len(doc)] * len(found)
                 doc.append(d)
         doc, sent, word = np.array(doc), np.array(sent, int), np.array(word, int)
         theta, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
         theta[-1] = -4.0
         share = np.where(y > 0, 0.5 / positive, 0.5 / negative)  # both classes weigh the same
         for t in range(1, rounds + 1):
-            z = theta[-1] + np.bincount(sent, theta[word], len(doc))
-            s = 1 / (1 + np.exp(-z))
+            z = np.clip(theta[-1] + np.bincount(sent, theta[word], len(doc)), -500, 500)
             clean = np.bincount(doc, -np.logaddexp(0, z), len(y))  # log of the product of 1 - s
             p = np.clip(-np.expm1(clean), 1e-9, 1)
             pull = np.where(y > 0, -np.exp(clean) / p, 1.0) * share
-            dz = pull[doc] * s
+            dz = pull[doc] * _sigmoid(z)
             g = np.append(np.bincount(word, dz[sent], len(chosen)), dz.sum())
             g[:-1] += decay * theta[:-1]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return cls({names[w]: float(theta[i]) for i, w in enumerate(chosen) if abs(theta[i]) > 1e-3}, float(theta[-1]))
-
-    def sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of each sentence."""
-        get = self.weights.get
-        out = []
-        for m in _sentence.finditer(text):
-            z = self.bias + sum(get(w, 0.0) for w in set(_word.findall(m[0].lower())))
-            out.append((m.start(), m.end(), 1 / (1 + np.exp(-z))))
-        return out or [(0, len(text), 1 / (1 + np.exp(-self.bias)))]
-
-    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The noisy-or of the bag, and the sentences of at least 0.5."""
-        found = self.sentences(text)
-        p = -np.expm1(sum(np.log1p(-min(s, 1 - 1e-12)) for _, _, s in found))
-        return float(min(1.0, max(0.0, p))), [x for x in found if x[2] >= 0.5]
-
-
-def _scores(model: NoisyOr, texts: list[str]) -> tuple[np.ndarray, list]:
-    """As model.score for each text; only sentences with a weighted word are scored one by one."""
-    get, rest = model.weights.get, 1 / (1 + np.exp(-model.bias))
-    log_rest = np.log1p(-min(rest, 1 - 1e-12))
-    known, out, where = frozenset(model.weights), np.empty(len(texts)), []
-    for i, text in enumerate(texts):
-        low = text.lower()
-        if len(low) != len(text) or rest >= 0.5:  # offsets would differ
-            out[i], spans = model.score(text)
-            where.append(spans)
-            continue
-        total, spans, n = 0.0, [], 0
-        for m in _sentence.finditer(low):
-            n += 1
-            if hit := known.intersection(_word.findall(m[0])):
-                s = 1 / (1 + np.exp(-(model.bias + sum(map(get, sorted(hit))))))
-                total += np.log1p(-min(s, 1 - 1e-12)) - log_rest
-                if s >= 0.5:
-                    spans.append((m.start(), m.end(), s))
-        out[i] = min(1.0, max(0.0, -np.expm1(total + max(n, 1) * log_rest)))
-        where.append(spans)
-    return out, where
+        return cls({names[f]: float(theta[i]) for i, f in enumerate(chosen) if abs(theta[i]) > 1e-3}, float(theta[-1]))
+
+    def score_all(self, texts: list[str], sums: _Sums | None = None) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """The noisy-or of each bag, and (start, end, probability) of its sentences of at least 0.5."""
+        sums = _Sums(self.weights) if sums is None else sums
+        of = sums.__getitem__
+        z, spans, sizes = [], [], []
+        for text in texts:
+            before = len(z)
+            for m in _sentence.finditer(text):
+                z.append(sum(map(of, _word.findall(m[0].lower()))))
+                spans.append(m.span())
+            if len(z) == before:
+                z.append(0.0)
+                spans.append((0, len(text)))
+            sizes.append(len(z) - before)
+        z = np.clip(np.array(z) + self.bias, -500, 500)
+        ends = np.cumsum(sizes)
+        p = np.clip(-np.expm1(np.add.reduceat(-np.logaddexp(0, z), ends - sizes)), 0, 1) if sizes else np.empty(0)
+        where: list = [[] for _ in texts]
+        for i in np.flatnonzero(z >= 0).tolist():
+            where[int(np.searchsorted(ends, i, "right"))].append((*spans[i], float(_sigmoid(z[i]))))
+        return p, where
 
 
 SPANS = "array<struct<start: bigint, end: bigint, score: double>>"
@@ -146,8 +159,9 @@ def score(docs: DataFrame, model: NoisyOr, keep: list[str]) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
+        sums = _Sums(model.weights)
         for b in batches:
-            p, where = _scores(model, [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
+            p, where = model.score_all([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()], sums)
             spans = pa.array([[{"start": x, "end": y, "score": float(s)} for x, y, s in w] for w in where], span)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), spans],
