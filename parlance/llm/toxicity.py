@@ -152,8 +152,8 @@ class NoisyOr:
 SPANS = "array<struct<start: bigint, end: bigint, score: double>>"
 
 
-def score(docs: DataFrame, model: NoisyOr, keep: list[str]) -> DataFrame:
-    """docs' columns keep, then score, predicted and the offending sentences' code-point spans."""
+def score(docs: DataFrame, model: NoisyOr, keep: list[str], names: tuple[str, str, str] = ("score", "predicted", "offending")) -> DataFrame:
+    """docs' columns keep, then score, prediction and the offending sentences' code-point spans under names."""
     small_batches(docs.sparkSession)
     rows = with_ids(docs, *dict.fromkeys([*keep, "text"]))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -165,12 +165,12 @@ def score(docs: DataFrame, model: NoisyOr, keep: list[str]) -> DataFrame:
             spans = pa.array([[{"start": x, "end": y, "score": float(s)} for x, y, s in w] for w in where], span)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), spans],
-                [*keep, "score", "predicted", "offending"],
+                [*keep, *names],
             )
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int, offending {SPANS}")
+    return rows.mapInArrow(run, f"{schema}, {names[0]} double, {names[1]} int, {names[2]} {SPANS}")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> NoisyOr:
