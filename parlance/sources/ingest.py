@@ -110,7 +110,7 @@ def tree_turns(lines: DataFrame, lang: str = "en", limit: int | None = None, mos
     path = rows.select("section_idx", F.explode(F.array_compact(F.array(*levels))).alias("x"))
     path = path.select("section_idx", "x.depth", "x.role", T.sanitize_tree(F.coalesce("x.text", F.lit(""))).alias("text"))
     path = path.where(T.keep_tree_text(F.col("text"), F.col("role"))).withColumn("text", T.truncate_at_sentence(F.col("text"), cap))
-    path = path.where(F.count(F.lit(1)).over(Window.partitionBy("section_idx")) >= 2)
+    path = path.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("section_idx"))).where("__n >= 2")
     nth = F.row_number().over(Window.partitionBy("section_idx").orderBy("depth")) - 1
     return path.select("section_idx", nth.cast("bigint").alias("turn_idx"), F.when(F.col("role") == "assistant", 0).otherwise(1).alias("person_id"), "text")
 
