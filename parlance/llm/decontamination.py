@@ -110,7 +110,9 @@ class Items:
                 w = shingles(h, n)
                 places[n].update(self.known(w).tolist())
         for n, starts in places.items():
-            at = np.array(sorted(starts))
+            at = np.array(sorted(starts), np.int64)
+            if not len(at):
+                continue
             inside = np.repeat(at, n) + np.tile(np.arange(n), len(at))
             prints = simhash(h[inside], np.arange(len(at)) * n, np.full(len(at), n))
             for a, f in zip(at.tolist(), prints.tolist(), strict=True):
