@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import decontamination, jaccard, licenses, lines, packing, secrets, sharding, tokencounts, topk, toxicity
 from parlance.llm.common import with_ids
+from parlance.llm.oracles import ORACLES  # noqa: F401
 from parlance.session import table
 
 def vocabulary(name: str) -> str:
@@ -74,4 +75,3 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES: dict[str, str] = {}
