@@ -6,11 +6,14 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a key table that may be broadcast after they have been counted; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Edges, counted first, that one task may hold to find components at once; beyond it rounds of joins do.
+TASK_EDGES = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +41,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of what has been collected
         return out
 
     def _delete(self, path: str) -> None:
@@ -74,14 +78,34 @@ def checksum(df: DataFrame, *cols: str) -> tuple:
     return row["n"], row["s"]
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _united(batches):
+    """(id, label) of all edges (u, v) of one task, by union-find."""
+    at: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := at.setdefault(x, x)) != x:
+            at[x] = x = at[up]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(u), root(v)
+            at[max(x, y)] = min(x, y)
+    if at:
+        yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), pa.array([root(x) for x in at], pa.int64())], ["id", "label"])
+
+
+def components(edges: DataFrame, scratch: Scratch, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, label) for each id in edges (a, b): label is the least id that it reaches.
 
-    Alternates large-star and small-star steps on joins and combinable minima until nothing changes.
-    No neighbour list is ever collected, so a hub is only many rows that adaptive joins can split.
+    Up to task_edges edges are united in one executor task. More are taken through large-star and
+    small-star steps on joins and combinable minima until nothing changes; no neighbour list is ever
+    collected, so a hub is only many rows that adaptive joins can split.
     """
     e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = checksum(e, "u", "v")
+    if before[0] <= task_edges:
+        return scratch.save(e.coalesce(1).mapInArrow(_united, "id long, label long"))
     while before[0]:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))

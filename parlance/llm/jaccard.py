@@ -88,36 +88,54 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _wide(s: np.ndarray) -> bytes:
+    """Parity bits as many as shingles at least, a power of two; shorter ones are foldings of longer ones."""
+    bits = max(512, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """A number of shingles by which two sets differ at least."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, key, n, id (of the set), grp (of prefix and size), 512 parity bits in s0 to s7, prefix."""
+    """doc_id, key, n, id (of the set), grp (of prefix and size), 512 parity bits in s0 to s7, wide parity bits, prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         order = Order(sent.value)
         for b in batches:
-            n, ids, grp, bits, prefix = [], [], [], [], []
+            n, ids, grp, bits, wide, prefix = [], [], [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 s = np.unique(shingles(word_hashes(t or b"")))
                 n.append(len(s))
                 if not len(s):
-                    ids.append(0), grp.append(0), bits.append(np.zeros(8, np.int64)), prefix.append(s)
+                    ids.append(0), grp.append(0), bits.append(np.zeros(8, np.int64)), wide.append(b""), prefix.append(s)
                     continue
                 p = order.prefix(s)
                 ids.append(int(mix(mix(s).sum(keepdims=True) + U(len(s)))[0].view(np.int64)))
                 fold = (mix(p) * (np.arange(1, len(p) + 1, dtype=U) * U(2) + U(1))).sum(keepdims=True)
                 grp.append(int(mix(fold + U(len(s)))[0].view(np.int64)))
                 bits.append(_sketch(s))
+                wide.append(_wide(s))
                 prefix.append(p)
             bits = np.stack(bits) if bits else np.zeros((0, 8), np.int64)
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(grp, pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8)], lists],
-                ["doc_id", "key", "n", "id", "grp", *[f"s{i}" for i in range(8)], "prefix"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(grp, pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8)], pa.array(wide, pa.binary()), lists],
+                ["doc_id", "key", "n", "id", "grp", *[f"s{i}" for i in range(8)], "wide", "prefix"],
             )
 
     columns = ", ".join(f"s{i} long" for i in range(8))
-    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id long, key long, n long, id long, grp long, {columns}, prefix array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id long, key long, n long, id long, grp long, {columns}, wide binary, prefix array<long>")
 
 
 def _may(a, b) -> Column:
@@ -127,9 +145,30 @@ def _may(a, b) -> Column:
     return sizes & ((DEN + NUM) * apart <= (DEN - NUM) * (a("n") + b("n")))
 
 
+def _near(a: dict, b: dict) -> np.ndarray:
+    """As _may, for all pairs of two sides."""
+    n, m = a["n"][:, None], b["n"][None, :]
+    apart = sum(np.bitwise_count(a[f"s{i}"].view(U)[:, None] ^ b[f"s{i}"].view(U)[None, :]).astype(np.int64) for i in range(8))
+    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & ((DEN + NUM) * apart <= (DEN - NUM) * (n + m))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs whose texts have the similarity. sets (id, key) names a text for each set."""
-    ids = scratch.save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(sets, "id"))
+    """Pairs whose texts have the similarity. sets (id, key, n, wide) names a text for each set.
+
+    Wide parity bits, some hundred bytes a set, rule out what the 512 bits of long texts can't,
+    before any text is moved.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side)
+
+    def close(batches):
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            keep = [(DEN + NUM) * _apart(x, y) <= (DEN - NUM) * (n + m) for x, y, n, m in zip(cols["wide_a"], cols["wide_b"], cols["n_a"], cols["n_b"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = scratch.save(pairs.mapInArrow(close, "a long, b long"))
+    ids = scratch.save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(sets.select("id", "key"), "id"))
     texts = docs.join(maybe_broadcast(ids.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     texts = scratch.save(ids.join(texts, "key").select("id", "text"))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -163,15 +202,17 @@ def join(docs: DataFrame) -> DataFrame:
     rows = scratch.save(profiles(docs, _common(docs)))
     full = rows.where("n > 0")
     bits = [f"s{i}" for i in range(8)]
-    sets = scratch.save(full.groupBy("id").agg(F.min("key").alias("key"), F.min("grp").alias("grp"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in bits]))
-    groups = full.groupBy("grp").agg(F.min("prefix").alias("prefix"))
+    sets = scratch.save(full.groupBy("id").agg(F.min("key").alias("key"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("wide").alias("wide"), *[F.min(c).alias(c) for c in bits]))
+    groups = scratch.save(full.groupBy("grp").agg(F.min("prefix").alias("prefix")))
+    plain = scratch.save(rows.select("doc_id", "key", "n", "id"))
+    scratch.drop(rows)
     index = groups.select(F.col("grp").alias("id"), F.explode("prefix").alias("key"))
-    met = distinct_buckets(index).select("key", F.col("id").alias("grp"))
+    met = scratch.save(distinct_buckets(index, scratch).select("key", F.col("id").alias("grp")))
+    scratch.drop(groups)
     of_group = sets.select("grp", "id")
     members = met.join(of_group, "grp").select("key", "id").unionByName(of_group.select(F.col("grp").alias("key"), "id")).distinct()
-    labels = link(members, sets.select("id", "n", *bits), _may, lambda pairs: _verified(pairs, sets.select("id", "key"), docs, scratch), scratch)
-    named = full.select("doc_id", "key", "n", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = scratch.save(named)
+    labels = link(members, sets.select("id", "n", *bits), _may, _near, lambda pairs: _verified(pairs, sets, docs, scratch), scratch)
+    named = scratch.save(plain.where("n > 0").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(least, "label").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(rows.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return linked.unionByName(plain.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -1,75 +1,128 @@
 """Connected groups from candidate buckets, without making all pairs of a bucket.
 
-A bucket is a key that some ids share; ids may be linked only if they share one. Small buckets give
-all their pairs. In a large one every id is first compared with the least id; ids in that id's
-component need no more comparisons among themselves. The others, few where a bucket holds real
-copies, become pivots in turn and are compared with all ids of the bucket that are still in another
-component. Rounds end when each id is a pivot or in the component of its bucket's least id, so no
-link between components is missed, and the pairs made grow with the bucket's size, not its square.
+A bucket is a key that some ids share; ids may be linked only if they share one. Every id of a bucket
+is first compared with its least id; ids in that id's component need no more comparisons among
+themselves. The others are compared with the whole bucket in cells: both sides are dealt into blocks of at most CELL ids, and each pair of blocks is one cell,
+in which a vectorised test finds the pairs that may be linked. No row is made for a pair before it
+has passed that test, no task holds more than some cells, and a bucket of any size is many cells.
+
+An id gives at most 8 pairs per cell at first, then 64, and so on until none is left out: where ids
+are truly alike, the first few links join them and the rest never has to be looked at, and where
+they are not, all pairs that pass the test are verified. So no link between components is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Scratch, components
+from parlance.llm.common import Scratch, components, maybe_broadcast
+
+CELL = 1024
+FIRST_PAIRS = 8
 
-SMALL = 12
-PIVOTS = 8
 
+def distinct_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, least, size) of one bucket for each set of ids that some bucket has; buckets of one id go.
 
-def distinct_buckets(members: DataFrame) -> DataFrame:
-    """(key, id) of one bucket for each set of ids that some bucket has; buckets of one id go."""
-    marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.min("id").alias("least"))
-    marks = marks.where("size > 1").groupBy("size", "s", "x").agg(F.min(F.struct("key", "least")).alias("k")).select("k.key", "k.least", "size")
-    return members.join(marks, "key")
+    members (key, id), distinct. Ids are hashes, so count, least, largest and exclusive-or tell sets
+    apart. They combine before the one shuffle; buckets of two need no join to get their members.
+    """
+    marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor("id").alias("x"))
+    marks = scratch.save(marks.where("size > 1").groupBy("size", "least", "most", "x").agg(F.min("key").alias("key")))
+    two = marks.where("size = 2").select("key", F.explode(F.array("least", "most")).alias("id"), "least", "size")
+    more = marks.where("size > 2").select("key", "least", "size")
+    return two.unionByName(members.join(maybe_broadcast(more), "key").select("key", "id", "least", "size"))
 
 
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def link(members: DataFrame, facts: DataFrame, may: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def _cells(large: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (key, x, y, role, id, label, apart, facts...) of cells: role 1 is compared with role 0."""
+    names = [c for c in facts.columns if c != "id"]
+    of = lambda at, to: labels.select(F.col("id").alias(at), F.col("label").alias(to))
+    now = large.join(of("id", "mine"), "id", "left").join(of("least", "first"), "least", "left")
+    now = now.withColumn("label", F.coalesce("mine", "id")).withColumn("apart", F.col("label") != F.coalesce("first", "least"))
+    sizes = now.groupBy("key").agg(F.count_if("apart").alias("u"), F.count(F.lit(1)).alias("m")).where("u > 0")
+    blocks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    now = now.join(sizes.select("key", blocks("u").alias("nx"), blocks("m").alias("ny")), "key").join(facts, "id")
+    x, y = F.pmod(F.xxhash64("id", F.lit(1)), F.col("nx")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("ny")).cast("int")
+    ask = now.where("apart").select("key", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"), F.lit(1).alias("role"), "id", "label", "apart", *names)
+    answer = now.select("key", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), y.alias("y"), F.lit(0).alias("role"), "id", "label", "apart", *names)
+    return ask.unionByName(answer)
+
+
+def _near_pairs(cells: DataFrame, names: list[str], near: Callable, most: int) -> DataFrame:
+    """(a, b, left): pairs of a cell that pass near and have two labels, at most `most` for an id; left tells of more."""
+
+    def run(batches):
+        held: list = []
+
+        def flush(rows):
+            col = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in rows.schema.names}
+            cell = np.stack([col["key"], col["x"], col["y"]], 1)
+            cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1), True])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                asks = a + np.flatnonzero(col["role"][a:b] == 1)
+                others = a + np.flatnonzero(col["role"][a:b] == 0)
+                for at in range(0, len(asks), 256):
+                    p = asks[at : at + 256]
+                    ok = near({c: col[c][p] for c in names}, {c: col[c][others] for c in names})
+                    ok &= col["label"][p][:, None] != col["label"][others]
+                    ok &= ~col["apart"][others] | (col["id"][p][:, None] < col["id"][others])  # two that ask meet once
+                    nth = ok.cumsum(1)
+                    i, j = np.nonzero(ok & (nth <= most))
+                    if len(i):
+                        one, two = col["id"][p][i], col["id"][others][j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(nth[i, -1] > most)], ["a", "b", "left"])
+
+        for batch in batches:
+            # the last cell of a batch may go on in the next
+            rows = pa.Table.from_batches([*held, batch])
+            cell = np.stack([rows.column(c).to_numpy() for c in ("key", "x", "y")], 1)
+            last = int(np.flatnonzero((cell != cell[-1]).any(1)).max(initial=-1)) + 1 if len(cell) else 0
+            if last:
+                yield from flush(rows.slice(0, last).combine_chunks())
+            held = rows.slice(last).to_batches()
+        if held:
+            yield from flush(pa.Table.from_batches(held).combine_chunks())
+
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long, left boolean")
+
+
+def link(members: DataFrame, facts: DataFrame, may: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], near: Callable[[dict, dict], np.ndarray], verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(id, label) of every id with a link; label is the least id of its component.
 
-    members (key, id), distinct; facts (id, ...) are joined to pairs for may, a native test that only
-    rejects pairs which verify would; verify takes pairs (a, b) and returns those that are linked.
+    members (key, id), distinct; facts (id, ...). may, on columns, and near, on arrays of two sides,
+    are one test that only rejects pairs which verify would; verify takes pairs (a, b) and returns
+    those that are linked.
     """
-    members = scratch.save(distinct_buckets(members).select("key", "id", "least", "size"))
+    members = scratch.save(distinct_buckets(members, scratch))
     names = [c for c in facts.columns if c != "id"]
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
-        pairs = pairs.where(may(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
-        return scratch.save(verify(scratch.save(pairs)))
-
-    small = members.where(F.col("size") <= SMALL).select("key", "id")
-    other = small.select("key", F.col("id").alias("other"))
-    pairs = small.join(other, "key").where("id < other").select(*_pair("id", "other"))
-    large = members.where(F.col("size") > SMALL)
-    pairs = pairs.unionByName(large.where("id <> least").select(*_pair("least", "id"))).distinct()
-    edges = checked(pairs)
-    labels = components(edges, scratch)
+    pairs = members.where("id <> least").select(*_pair("least", "id")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
+    pairs = scratch.save(pairs.where(may(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b"))
+    labels = components(scratch.save(verify(pairs)), scratch)
+    large = members.where("size > 2")
     if large.isEmpty():
         return labels
-    done = large.select("key", F.col("least").alias("id")).distinct()
-    n = PIVOTS
+    tested, most = pairs, FIRST_PAIRS
     while True:
-        label = lambda df, at, to: df.join(labels.select(F.col("id").alias(at), F.col("label").alias("l")), at, "left").withColumn(to, F.coalesce("l", at)).drop("l")
-        now = label(label(large, "id", "mine"), "least", "first")
-        apart = now.where("mine <> first").join(done, ["key", "id"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        pivots = scratch.save(apart.withColumn("rank", rank).where(F.col("rank") <= n).select("key", F.col("id").alias("pivot"), F.col("mine").alias("pivot_label")))
-        if pivots.isEmpty():
-            return labels
-        pairs = now.join(pivots, "key").where("mine <> pivot_label").select(*_pair("pivot", "id")).distinct()
-        new = checked(pairs)
-        done = scratch.save(done.unionByName(pivots.select("key", F.col("pivot").alias("id"))))
-        if not new.isEmpty():
+        found = scratch.save(_near_pairs(_cells(large, labels, facts), names, near, most))
+        new = scratch.save(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        links = scratch.save(verify(new))
+        if not links.isEmpty():
             # old components are stars about their labels, so their edges need not be read again
-            labels = components(new.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))), scratch)
-        n *= 8
+            labels = components(links.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))), scratch)
+        if not found.where("left").limit(1).count():
+            return labels
+        tested, most = scratch.save(tested.unionByName(new)), 8 * most

@@ -88,7 +88,6 @@ def test_jaccard_join_nulls_and_repeats(spark):
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     from parlance.llm import linking
 
-    monkeypatch.setattr(linking, "SMALL", 3)
     monkeypatch.setattr(linking, "CELL", 8)
     monkeypatch.setattr(linking, "FIRST_PAIRS", 1)
     texts = corpus(5)
@@ -111,8 +110,9 @@ def test_components(spark):
     for a, b in edges:
         x, y = root(a), root(b)
         at[max(x, y)] = min(x, y)
-    out = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"))
-    assert sorted(map(tuple, out.collect())) == sorted((x, root(x)) for x in list(at))
+    for most in (10**6, 0):  # in one task, and by joins
+        out = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), most)
+        assert sorted(map(tuple, out.collect())) == sorted((x, root(x)) for x in list(at))
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
 
 
