@@ -26,14 +26,18 @@ CELL = 1024
 FIRST_PAIRS = 8
 
 
-def distinct_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
+def distinct_buckets(members: DataFrame, scratch: Scratch, two: Column | None = None) -> DataFrame:
     """(key, id, least, size) of one bucket for each set of ids that some bucket has; buckets of one id go.
 
+    two, a condition on least and most, tells which buckets of two ids are worth keeping: where ids
+    are fingerprints, chance meetings go before they become rows.
+
     members (key, id), distinct. Ids are hashes, so count, least, largest and exclusive-or tell sets
     apart. They combine before the one shuffle; buckets of two need no join to get their members.
     """
     marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor("id").alias("x"))
-    marks = scratch.save(marks.where("size > 1").groupBy("size", "least", "most", "x").agg(F.min("key").alias("key")))
+    marks = marks.where("size > 1") if two is None else marks.where((F.col("size") > 2) | (F.col("size") == 2) & two)
+    marks = scratch.save(marks.groupBy("size", "least", "most", "x").agg(F.min("key").alias("key")))
     two = marks.where("size = 2").select("key", F.explode(F.array("least", "most")).alias("id"), "least", "size")
     more = marks.where("size > 2").select("key", "least", "size")
     return two.unionByName(members.join(maybe_broadcast(more), "key").select("key", "id", "least", "size"))
@@ -43,13 +47,18 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _cells(large: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows (key, x, y, role, id, label, apart, facts...) of cells: role 1 is compared with role 0."""
-    names = [c for c in facts.columns if c != "id"]
+def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, least, label, apart) of the buckets in which some id is apart from the least id's component."""
     of = lambda at, to: labels.select(F.col("id").alias(at), F.col("label").alias(to))
     now = large.join(of("id", "mine"), "id", "left").join(of("least", "first"), "least", "left")
-    now = now.withColumn("label", F.coalesce("mine", "id")).withColumn("apart", F.col("label") != F.coalesce("first", "least"))
-    sizes = now.groupBy("key").agg(F.count_if("apart").alias("u"), F.count(F.lit(1)).alias("m")).where("u > 0")
+    now = now.select("key", "id", "least", F.coalesce("mine", "id").alias("label"), (F.coalesce("mine", "id") != F.coalesce("first", "least")).alias("apart"))
+    return now.join(maybe_broadcast(now.where("apart").select("key").distinct()), "key", "left_semi")
+
+
+def _cells(now: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (key, x, y, role, id, label, apart, facts...) of cells: role 1 is compared with role 0."""
+    names = [c for c in facts.columns if c != "id"]
+    sizes = now.groupBy("key").agg(F.count_if("apart").alias("u"), F.count(F.lit(1)).alias("m"))
     blocks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
     now = now.join(sizes.select("key", blocks("u").alias("nx"), blocks("m").alias("ny")), "key").join(facts, "id")
     x, y = F.pmod(F.xxhash64("id", F.lit(1)), F.col("nx")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("ny")).cast("int")
@@ -117,7 +126,9 @@ def link(members: DataFrame, facts: DataFrame, may: Callable[[Callable[[str], Co
         return labels
     tested, most = pairs, FIRST_PAIRS
     while True:
-        found = scratch.save(_near_pairs(_cells(large, labels, facts), names, near, most))
+        now = scratch.save(_open(large, labels))
+        large = now.select("key", "id", "least")  # components only grow, so a closed bucket stays closed
+        found = scratch.save(_near_pairs(_cells(now, facts), names, near, most))
         new = scratch.save(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         links = scratch.save(verify(new))
         if not links.isEmpty():
