@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import small_batches, with_ids
+from parlance.llm.textkit import _xx
 
 #: The classifier is fitted on at most so many labelled documents of each class, taken in hash order.
 SAMPLE_PER_CLASS = 4000
@@ -87,27 +88,41 @@ class NoisyOr:
             return cls({}, 3.0 if positive else -3.0)
         ids: dict[str, int] = {}
         bags = [[np.array([ids.setdefault(w, len(ids)) for w in s], np.int32) for s in bag(t)] for t in texts]
-        names: dict[str, int] = {}
-        of_word = [np.array([names.setdefault(f, len(names)) for f in features(w)], np.int32) for w in ids]
-        with_feature = np.zeros((2, len(names)), np.int64)
+        # features are told apart by hashes; a million strings would fill the driver
+        hashes, sizes = [], []
+        for w in ids:
+            f = features(w)
+            sizes.append(len(f))
+            hashes += map(_xx, f)
+        distinct, of = np.unique(np.array(hashes, np.uint64), return_inverse=True)
+        del hashes
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        with_feature = np.zeros((2, len(distinct)), np.int64)
         for label, b in zip(y.astype(int).tolist(), bags, strict=True):
             words = np.unique(np.concatenate(b))
             if len(words):
-                with_feature[label, np.unique(np.concatenate([of_word[w] for w in words.tolist()]))] += 1
+                n = ends[words] - starts[words]
+                at = np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                with_feature[label, np.unique(of[at])] += 1
         n, p = with_feature
         odds = np.log((p + 0.5) / (positive - p + 0.5)) - np.log((n + 0.5) / (negative - n + 0.5))
         rank = np.where(p + n >= 5, np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)), 0)
-        names = list(names)
-        chosen = sorted(np.flatnonzero(rank > 3).tolist(), key=lambda i: (-rank[i], names[i]))[:FEATURES]
-        place = np.full(len(names), -1)
+        chosen = sorted(np.flatnonzero(rank > 3).tolist(), key=lambda i: (-rank[i], int(distinct[i])))[:FEATURES]
+        place = np.full(len(distinct), -1)
         place[chosen] = np.arange(len(chosen))
-        of_word = [(f := place[x])[f >= 0] for x in of_word]
+        names, of_word = {}, {}
+        for i, w in enumerate(ids):
+            found = place[of[starts[i] : ends[i]]]
+            if (found >= 0).any():
+                of_word[i] = found[found >= 0].tolist()
+                names |= {f: x for x, f in zip(found.tolist(), features(w), strict=True) if x >= 0}
         doc, sent, word = [], [], []
         for d, b in enumerate(bags):
             for s in b:
                 for w in s.tolist():
-                    if len(found := of_word[w]):
-                        word += found.tolist()
+                    if found := of_word.get(w):
+                        word += found
                         sent += [len(doc)] * len(found)
                 doc.append(d)
         doc, sent, word = np.array(doc), np.array(sent, int), np.array(word, int)
@@ -124,7 +139,7 @@ class NoisyOr:
             g[:-1] += decay * theta[:-1]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return cls({names[f]: float(theta[i]) for i, f in enumerate(chosen) if abs(theta[i]) > 1e-3}, float(theta[-1]))
+        return cls({f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-3}, float(theta[-1]))
 
     def score_all(self, texts: list[str], sums: _Sums | None = None) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """The noisy-or of each bag, and (start, end, probability) of its sentences of at least 0.5."""
