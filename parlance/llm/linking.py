@@ -47,11 +47,11 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, id, least, label, apart) of the buckets in which some id is apart from the least id's component."""
     of = lambda at, to: labels.select(F.col("id").alias(at), F.col("label").alias(to))
     now = large.join(of("id", "mine"), "id", "left").join(of("least", "first"), "least", "left")
-    now = now.select("key", "id", "least", F.coalesce("mine", "id").alias("label"), (F.coalesce("mine", "id") != F.coalesce("first", "least")).alias("apart"))
+    now = scratch.save(now.select("key", "id", "least", F.coalesce("mine", "id").alias("label"), (F.coalesce("mine", "id") != F.coalesce("first", "least")).alias("apart")))
     return now.join(maybe_broadcast(now.where("apart").select("key").distinct()), "key", "left_semi")
 
 
@@ -126,7 +126,7 @@ def link(members: DataFrame, facts: DataFrame, may: Callable[[Callable[[str], Co
         return labels
     tested, most = pairs, FIRST_PAIRS
     while True:
-        now = scratch.save(_open(large, labels))
+        now = scratch.save(_open(large, labels, scratch))
         large = now.select("key", "id", "least")  # components only grow, so a closed bucket stays closed
         found = scratch.save(_near_pairs(_cells(now, facts), names, near, most))
         new = scratch.save(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
