@@ -22,10 +22,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def softmax(x: Column) -> Column:
     """Shifted by the maximum; uniform if that isn't finite or nothing is left."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
+    # what all elements share goes in as a second array: inside a lambda it would be computed for each
+    along = lambda v: F.array_repeat(v, F.size(x))
+    e = F.zip_with(x, along(F.array_max(x)), lambda v, m: F.exp(v - m))
     total = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
     fine = total.isNotNull() & ~F.isnan(total) & (total > 0) & (total < float("inf"))
-    return F.when(fine, F.transform(e, lambda v: v / total)).otherwise(F.transform(x, lambda v: 1.0 / F.size(x)))
+    return F.when(fine, F.zip_with(e, along(total), lambda v, t: v / t)).otherwise(along(1.0 / F.size(x)))
 
 
 def mask(p: Column, ids: Column) -> Column:

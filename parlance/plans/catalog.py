@@ -384,15 +384,15 @@ def val_split(spark, sf_dir):
 
 # ---- vectors ------------------------------------------------------------------------------------
 
-@query("label_centroids", "SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY label, dim")
+@query("label_centroids", "SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) + 0.0 AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY label, dim")
 def label_centroids(spark, sf_dir):
-    return retrieval.group_means(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "dim", F.round("mean", 6).alias("mean"))
+    return retrieval.group_means(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "dim", (F.round("mean", 6) + 0.0).alias("mean"))
 
 
-@query("cosine_topk", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id < 5), s AS (SELECT query_id, vec_id, list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))) AS score FROM e, q) SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 5")
+@query("cosine_topk", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))) AS score FROM e, q) SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 5")
 def cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieval.top_k_each(e, queries, 5, "vec_id").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -418,10 +418,10 @@ def _turn_vectors(spark, sf_dir):
 _CENTROIDS = f"v AS (SELECT token, max(id) AS id FROM vocab GROUP BY token), w AS (SELECT section_idx, turn_idx, unnest({tokens()}) AS token FROM turns), c AS (SELECT section_idx, turn_idx, dim, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT section_idx, turn_idx, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM w JOIN v USING (token) JOIN embeddings ON vec_id = v.id % 500 WHERE v.id > 1) GROUP BY ALL)"
 
 
-@query("turn_centroids", f"WITH {TURNS}, {VOCAB}, {_CENTROIDS} SELECT section_idx, turn_idx, CAST(dim AS INTEGER) AS dim, round(x, 6) AS x FROM c WHERE dim < 4 UNION ALL SELECT section_idx, turn_idx, CAST(unnest(range(0, 4)) AS INTEGER), 0.0 FROM turns WHERE (section_idx, turn_idx) NOT IN (SELECT (section_idx, turn_idx) FROM c)")
+@query("turn_centroids", f"WITH {TURNS}, {VOCAB}, {_CENTROIDS} SELECT section_idx, turn_idx, CAST(dim AS INTEGER) AS dim, round(x, 6) + 0.0 AS x FROM c UNION ALL SELECT section_idx, turn_idx, CAST(unnest(range(0, 64)) AS INTEGER), 0.0 FROM turns WHERE (section_idx, turn_idx) NOT IN (SELECT (section_idx, turn_idx) FROM c)")
 def turn_centroids(spark, sf_dir):
     _, vectors = _turn_vectors(spark, sf_dir)
-    return vectors.select("section_idx", "turn_idx", F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "x")).select("section_idx", "turn_idx", "dim", F.round("x", 6).alias("x"))
+    return vectors.select("section_idx", "turn_idx", F.posexplode("embedding").alias("dim", "x")).select("section_idx", "turn_idx", "dim", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("teacher_next_turn")
@@ -491,10 +491,10 @@ def lr_schedule(spark, sf_dir):
     return spark.range(1, 21).select(F.col("id").alias("epoch"), F.round(V.learning_rate(F.col("id"), 0.001, 0.00001, 3, 10), 9).alias("lr"))
 
 
-@query("softmax_mask", """WITH e AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT vec_id, list_transform(x, lambda v: exp(v - list_max(x))) AS z FROM e), p AS (SELECT vec_id, list_transform(z, lambda v: v / list_sum(z)) AS p FROM s)
- SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(CASE WHEN i IN (2, 4) THEN 0 ELSE p[i] * CASE i WHEN 1 THEN 0.25 WHEN 3 THEN 0.5 ELSE 1 END END, 6) AS p FROM (SELECT vec_id, p, unnest(range(1, 9)) AS i FROM p)""")
+@query("softmax_mask", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT vec_id, list_transform(x, lambda v: exp(v - list_max(x))) AS z FROM e), p AS (SELECT vec_id, list_transform(z, lambda v: v / list_sum(z)) AS p FROM s)
+ SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(CASE WHEN i IN (2, 4) THEN 0 ELSE p[i] * CASE i WHEN 1 THEN 0.25 WHEN 3 THEN 0.5 ELSE 1 END END, 6) AS p FROM (SELECT vec_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)""")
 def softmax_mask(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     p = V.repetition_penalty(V.mask(V.softmax(F.col("x")), F.array(F.lit(1), F.lit(3))), F.array(F.lit(0), F.lit(0), F.lit(2)), 0.5)
     return e.select("vec_id", F.posexplode(p).alias("i", "p")).select("vec_id", "i", F.round("p", 6).alias("p"))
 
