@@ -182,6 +182,30 @@ def test_line_dedup(spark):
     assert fuzzy
 
 
+def test_lines_of_edit_similarity_alone(spark):
+    """Nearly all pairs that are just similar enough are found; fingerprints of 3 bits met few of them."""
+    rng = random.Random(12)
+    first, second = [], []
+    for n in (5, 6, 8, 10, 15, 20, 40, 60, 100):
+        for _ in range(20):
+            w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+            last = None
+            for i in rng.sample(range(n), n):
+                v = [*w[:i], "".join(rng.choice("qrstuvwxyz") for _ in w[i]), *w[i + 1 :]]
+                if not lines.similar(" ".join(first[-1] if last else w), " ".join(v)):
+                    break
+                if not last:
+                    first.append(w)
+                w = last = v
+            if last:
+                second.append(last)
+    texts = [" ".join(w) for w in first + second]
+    assert len(first) == len(second) > 150 and all(lines.similar(a, b) for a, b in zip(texts, texts[len(first) :]))
+    out = {r["doc_id"]: r["n_removed"] for r in lines.deduplicate(docs(spark, texts)).collect()}
+    assert not any(out[i] for i in range(len(first)))
+    assert sum(out[len(first) + i] for i in range(len(second))) >= 0.97 * len(second)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(-40, 40, (400, 6)) / 97
