@@ -206,6 +206,13 @@ def test_lines_of_edit_similarity_alone(spark):
     assert sum(out[len(first) + i] for i in range(len(second))) >= 0.97 * len(second)
 
 
+def test_short_lines_repeat_too(spark):
+    texts = ["erheed titionly\nthe end\nonce\n\n--", "Erheed, titionly!\nreouha the of heble", "once\n\n--\nreouha the of heble\nonce more then", "erheed titionlx\nentirely different"]
+    out = {r["doc_id"]: r for r in lines.deduplicate(docs(spark, texts)).collect()}
+    assert [out[i]["removed"] for i in range(4)] == [None, [0], [0, 3], [0]]
+    assert out[2]["text"] == "\n--\nonce more then" and out[0]["text"] == texts[0]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(-40, 40, (400, 6)) / 97
