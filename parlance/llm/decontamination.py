@@ -9,7 +9,8 @@ exactly: the weight of the item's five-word shingles that the window holds, over
 of them; a shingle weighs one over the number of items that hold it.
 
 The benchmark goes through in blocks of ITEM_BLOCK items, each a table of bounded size that tasks
-get whole; the documents are never shuffled.
+get whole; the documents are never shuffled. The numbers of items that hold a shingle are counted
+over the whole benchmark first.
 
 Defined results: null and empty texts hold nothing; items with fewer than five words have the whole
 sequence as their shingle; items without words match nothing; repeated rows and items are reported
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import small_batches, with_ids
+from parlance.llm.common import Scratch, maybe_broadcast, small_batches, with_ids
 from parlance.llm.textkit import U, hashed, shingles, simhash
 
 RADIUS = 15
@@ -126,6 +127,18 @@ class Items:
         return [(i, a, n, share) for i, (share, a, n) in sorted(best.items())]
 
 
+def holders(benchmark: DataFrame) -> DataFrame:
+    """(s, n): how many items of the whole benchmark hold each shingle."""
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(words(t), SHINGLE)).view(np.int64))], ["s"])
+
+    texts = with_ids(benchmark, "item_id", "text").where("item_id is not null and text is not null").select("text")
+    return texts.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity, key): each document's leaks; key is the text's hash."""
     spark = docs.sparkSession
@@ -135,8 +148,17 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out, block = None, []
     schema = "doc_id long, key long, item_id long, start long, n_words long, similarity double"
 
+    items = with_ids(benchmark, "item_id", "text").where("item_id is not null")
+    # one block holds the whole benchmark, so its own counts are those of all items
+    counts = Scratch(spark, "benchmark").save(holders(benchmark)) if items.count() > ITEM_BLOCK else None
+
+    def weights(block):
+        own = np.unique(np.concatenate([shingles(words(t or ""), SHINGLE) for _, t in block]))
+        own = spark.createDataFrame(pa.table({"s": pa.array(own.view(np.int64))}), "s long")
+        return {r["s"] & (1 << 64) - 1: 1 / r["n"] for r in counts.join(maybe_broadcast(own), "s").collect()}
+
     def through(block):
-        sent = spark.sparkContext.broadcast(Items(block))
+        sent = spark.sparkContext.broadcast(Items(block, weights(block) if counts is not None else None))
 
         def run(batches):
             items = sent.value
@@ -150,7 +172,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return rows.mapInArrow(run, schema)
 
     # the benchmark is read a partition at a time; the driver holds one block
-    for r in with_ids(benchmark, "item_id", "text").where("item_id is not null").toLocalIterator():
+    for r in items.toLocalIterator():
         block.append((r["item_id"], r["text"]))
         if len(block) == ITEM_BLOCK:
             part = through(block)

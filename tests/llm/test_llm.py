@@ -335,6 +335,19 @@ def test_decontamination(spark):
     assert decontamination.find(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_weights_over_all_blocks(spark, monkeypatch):
+    """A window without the stem that items share is found whatever the size of a block, and weighs the same."""
+    rng = random.Random(3)
+    stem = prose(rng, 8, 10**5)
+    items = [stem + " " + prose(rng, 40, 10**5) for _ in range(6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [" ".join(items[i].split()[8:]) + " " + prose(rng, 20, 10**5) for i in range(6)]
+    rows = lambda: sorted(tuple(r) for r in decontamination.find(docs(spark, texts), bench).collect())
+    whole = rows()
+    monkeypatch.setattr(decontamination, "ITEM_BLOCK", 1)
+    assert rows() == whole and len({r[:3] for r in whole}) > 2
+
+
 def test_multi_index_meets_all_within_radius():
     rng = random.Random(1)
     items = decontamination.Items([(i, prose(rng, 15)) for i in range(200)])
