@@ -107,7 +107,7 @@ class Items:
                 if n >= SHINGLE or n == len(h):
                     places[n].update(range(max(0, p + SHINGLE - n), min(p, len(h) - n) + 1))
         for n in self.short:  # an item of fewer words than a shingle is met by its own windows
-            if n < len(h):
+            if n <= len(h):
                 w = shingles(h, n)
                 places[n].update(self.known(w).tolist())
         for n, starts in places.items():

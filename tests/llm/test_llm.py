@@ -348,6 +348,12 @@ def test_decontamination_weights_over_all_blocks(spark, monkeypatch):
     assert rows() == whole and len({r[:3] for r in whole}) > 2
 
 
+def test_document_equal_to_a_short_item():
+    for n in range(1, 5):
+        item = " ".join("abcd"[:n])
+        assert decontamination.Items([(7, item)]).leaks(item) == [(0, 0, n, 1.0)]
+
+
 def test_multi_index_meets_all_within_radius():
     rng = random.Random(1)
     items = decontamination.Items([(i, prose(rng, 15)) for i in range(200)])
