@@ -12,8 +12,8 @@ The query set is handled in blocks of QUERY_BLOCK rows, each sent to all tasks;
 Pivots are fitted on at most PIVOT_SAMPLE rows; every row is indexed and the search is exact.
 
 Defined results: null vectors and vectors with null or non-finite components take no part;
-components that a shorter vector lacks count as 0; rows that share a vec_id count once, by the
-least vector; ties go to the smaller vec_id; a null vec_id takes no part; fewer than k candidates
+components that a shorter vector lacks count as 0; equal rows count once, and rows that
+share a vec_id with other vectors each for themselves; ties go to the smaller vec_id; a null vec_id takes no part; fewer than k candidates
 give fewer rows; extra columns aren't read.
 """
 
@@ -35,11 +35,11 @@ _EXACT = 2.0**52
 
 
 def quantised(df: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) with whole components, one row per vec_id."""
+    """(vec_id, v array<double>) with whole components, without repeats of a whole row."""
     v = F.col("embedding")
     fine = v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * 256).cast("double"))
-    return with_ids(df, "vec_id", "embedding").where(fine).select(F.col("vec_id").cast("long"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return with_ids(df, "vec_id", "embedding").where(fine).select(F.col("vec_id").cast("long"), whole.alias("v")).distinct()
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -136,13 +136,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], ["vec_id", "v", "pivot", "d"])
 
     index = scratch.save(vectors.mapInArrow(keyed, "vec_id long, v array<double>, pivot int, d double"))
-    # annuli of about CELL rows; a distance that fills more than one is dealt out by vec_id
+    # annuli of about CELL rows; a distance that fills more than one is dealt out by row
     sizes = index.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("near"), F.max("d").alias("far"))
     ring = F.floor((F.col("d") - F.col("near")) / F.greatest(F.col("far") - F.col("near"), F.lit(1e-9)) * F.least(F.lit(63), F.col("n") / CELL)).cast("int")
     rings = index.join(F.broadcast(sizes), "pivot").withColumn("ring", ring)
     heavy = rings.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("m"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("m") / CELL)).cast("int")
-    cells = rings.join(F.broadcast(heavy), ["pivot", "ring"]).withColumn("deal", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+    cells = rings.join(F.broadcast(heavy), ["pivot", "ring"]).withColumn("deal", F.pmod(F.xxhash64("vec_id", "v"), parts).cast("int"))
     n = vectors.count()
     tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, -(-n // (4 * CELL))))
     cells = scratch.save(cells.repartition(tasks, "pivot", "ring", "deal").sortWithinPartitions("pivot", "ring", "deal", "vec_id").select("pivot", "ring", "deal", "vec_id", "v", "d"))

@@ -238,6 +238,13 @@ def test_topk(spark):
     assert [tuple(r)[2:] for r in topk.top_k(big, topk.every_fiftieth(big), 5).orderBy("rank").collect()] == [(1, a[0] * b[0] + a[1] * b[1]), (2, a[0] * c[0] + a[1] * c[1])]
 
 
+def test_topk_keeps_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (3, [2.0, 0.0]), (3, [5.0, 0.0]), (7, [3.0, 0.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    out = topk.top_k(v, topk.every_fiftieth(v), 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in out] == [(3, 5 << 16), (7, 3 << 16), (3, 2 << 16)]
+
+
 def test_topk_prunes():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(4, 8)) * 900
