@@ -4,9 +4,10 @@ A document's set holds its distinct five-word shingles. Shingles have one global
 many documents hold come last, by count, all others by hash. Sets with Jaccard similarity of at
 least 0.8 share a shingle in their prefixes, the first n - ceil(0.8 n) + 1 of their n shingles.
 Documents with identical prefix and size form one group; groups that share a prefix shingle are
-matched, and only then are groups expanded into their distinct sets. Pairs pass a size bound and
-a bound from 512 parity bits, whose Hamming distance never exceeds the symmetric difference; the
-rest are verified on whole texts.
+matched: pairs of groups pass bounds from their sizes and the places of the shared shingle, and only
+then are groups expanded into their distinct sets. Pairs of these pass bounds from 512 and more
+parity bits, whose Hamming distance never exceeds the symmetric difference; the rest are verified on
+whole texts.
 
 The order is a hint that no result depends on: counts come from all documents, and at most
 FREQUENT of the commonest shingles are told apart. Links are followed to components through
@@ -22,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import Scratch, maybe_broadcast, small_batches, text_key, with_ids
-from parlance.llm.linking import distinct_buckets, link
+from parlance.llm.linking import link
 from parlance.llm.textkit import U, mix, shingles, word_hashes
 
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -95,14 +96,21 @@ def _wide(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _apart(a: bytes, b: bytes) -> int:
-    """A number of shingles by which two sets differ at least."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def _wide_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of wide parity bits, a number of shingles by which the sets differ at least."""
+    out = np.zeros(len(a), np.int64)
+    x_size, y_size = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    for x, y in set(zip(x_size.tolist(), y_size.tolist(), strict=True)):
+        all_at = np.flatnonzero((x_size == x) & (y_size == y))
+        step = max(1, (8 << 20) // max(x, y))
+        for at in (all_at[k : k + step] for k in range(0, len(all_at), step)):
+            one, two = (np.frombuffer(b"".join(side[at].tolist()), np.uint64).reshape(len(at), -1) for side in (a, b))
+            if x < y:
+                one, two = two, one
+            while one.shape[1] > two.shape[1]:
+                one = one[:, : one.shape[1] // 2] ^ one[:, one.shape[1] // 2 :]
+            out[at] = np.bitwise_count(one ^ two).sum(1, dtype=np.int64)
+    return out
 
 
 def profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -112,7 +120,7 @@ def profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def run(batches):
         order = Order(sent.value)
         for b in batches:
-            n, ids, grp, bits, wide, prefix = [], [], [], [], [], []
+            n, ids, grp, bits, wide, prefix, met = [], [], [], [], [], [], set()
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 s = np.unique(shingles(word_hashes(t or b"")))
                 n.append(len(s))
@@ -125,7 +133,8 @@ def profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 grp.append(int(mix(fold + U(len(s)))[0].view(np.int64)))
                 bits.append(_sketch(s))
                 wide.append(_wide(s))
-                prefix.append(p)
+                prefix.append(p if grp[-1] not in met else p[:0])  # a batch names a group's prefix once
+                met.add(grp[-1])
             bits = np.stack(bits) if bits else np.zeros((0, 8), np.int64)
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)), pa.array(flat))
@@ -138,37 +147,35 @@ def profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id long, key long, n long, id long, grp long, {columns}, wide binary, prefix array<long>")
 
 
-def _may(a, b) -> Column:
-    """Sizes and parity bits allow the similarity: union - intersection <= (1 - t) / (1 + t) * (sizes added)."""
-    sizes = (DEN * a("n") >= NUM * b("n")) & (DEN * b("n") >= NUM * a("n"))
-    apart = sum((F.bit_count(a(f"s{i}").bitwiseXOR(b(f"s{i}"))) for i in range(8)), F.lit(0))
-    return sizes & ((DEN + NUM) * apart <= (DEN - NUM) * (a("n") + b("n")))
+def _near(cols: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By how many in a thousand of their shingles sets i and j differ at least; -1 if they can't be similar.
 
-
-def _near(a: dict, b: dict) -> np.ndarray:
-    """As _may, for all pairs of two sides."""
-    n, m = a["n"][:, None], b["n"][None, :]
-    apart = sum(np.bitwise_count(a[f"s{i}"].view(U)[:, None] ^ b[f"s{i}"].view(U)[None, :]).astype(np.int64) for i in range(8))
-    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & ((DEN + NUM) * apart <= (DEN - NUM) * (n + m))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs whose texts have the similarity. sets (id, key, n, wide) names a text for each set.
-
-    Wide parity bits, some hundred bytes a set, rule out what the 512 bits of long texts can't,
-    before any text is moved.
+    Size and place hold for whole groups: with a common shingle at places p and q of two prefixes,
+    at most min(p, q) shingles before it and those after it in the smaller rest are shared. Then
+    parity bits bound the symmetric difference, (1 - t) / (1 + t) * (sizes added) at most.
     """
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side)
+    out = np.full(len(i), -1, np.int64)
+    n, m, p, q = cols["n"][i], cols["n"][j], cols["place"][i], cols["place"][j]
+    shared = 1 + np.minimum(p, q) + np.minimum(n - p - 1, m - q - 1)
+    ok = (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & ((p < 0) | (q < 0) | ((DEN + NUM) * shared >= NUM * (n + m)))
+    at = np.flatnonzero(ok)
+    for bound in ("bits", "wide"):
+        x, y = i[at], j[at]
+        if bound == "bits":
+            apart = sum(np.bitwise_count((cols[f"s{k}"][x] ^ cols[f"s{k}"][y]).view(U)).astype(np.int64) for k in range(8)) if len(at) else np.empty(0, np.int64)
+        else:
+            apart = _wide_apart(cols["wide"][x], cols["wide"][y])
+        total = (n + m)[at]
+        ok = (DEN + NUM) * apart <= (DEN - NUM) * total
+        out[at] = np.where(ok, 1000 * apart // np.maximum(total, 1), -1)
+        at = at[ok]
+    return out
 
-    def close(batches):
-        for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            keep = [(DEN + NUM) * _apart(x, y) <= (DEN - NUM) * (n + m) for x, y, n, m in zip(cols["wide_a"], cols["wide_b"], cols["n_a"], cols["n_b"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = scratch.save(pairs.mapInArrow(close, "a long, b long"))
-    ids = scratch.save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(sets.select("id", "key"), "id"))
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs whose texts have the similarity. sets (id, key) names a text for each set."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = scratch.save(sets.join(maybe_broadcast(ids), "id").groupBy("id").agg(F.min("key").alias("key")))
     texts = docs.join(maybe_broadcast(ids.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     texts = scratch.save(ids.join(texts, "key").select("id", "text"))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -201,18 +208,11 @@ def join(docs: DataFrame) -> DataFrame:
     docs = with_ids(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key())
     rows = scratch.save(profiles(docs, _common(docs)))
     full = rows.where("n > 0")
-    bits = [f"s{i}" for i in range(8)]
-    sets = scratch.save(full.groupBy("id").agg(F.min("key").alias("key"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("wide").alias("wide"), *[F.min(c).alias(c) for c in bits]))
-    groups = scratch.save(full.groupBy("grp").agg(F.min("prefix").alias("prefix")))
-    plain = scratch.save(rows.select("doc_id", "key", "n", "id"))
-    scratch.drop(rows)
-    index = groups.select(F.col("grp").alias("id"), F.explode("prefix").alias("key"))
-    met = scratch.save(distinct_buckets(index, scratch).select("key", F.col("id").alias("grp")))
-    scratch.drop(groups)
-    of_group = sets.select("grp", "id")
-    members = met.join(of_group, "grp").select("key", "id").unionByName(of_group.select(F.col("grp").alias("key"), "id")).distinct()
-    labels = link(members, sets.select("id", "n", *bits), _may, _near, lambda pairs: _verified(pairs, sets, docs, scratch), scratch)
-    named = scratch.save(plain.where("n > 0").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    index = full.select("grp", F.posexplode("prefix").alias("place", "key"))
+    sets = full.select("id", "grp", "n", "wide", *[f"s{i}" for i in range(8)])
+    labels = link(index, sets, _near, lambda pairs, _: _verified(pairs, full.select("id", "key"), docs, scratch), scratch, True)
+    plain = rows.select("doc_id", "key", "n", "id")
+    named = scratch.save(plain.where("n > 0").join(labels, "id", "left").select("doc_id", "key", "n", F.coalesce("label", "id").alias("label")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(least, "label").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(plain.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -1,14 +1,20 @@
 """Connected groups from candidate buckets, without making all pairs of a bucket.
 
-A bucket is a key that some ids share; ids may be linked only if they share one. Every id of a bucket
-is first compared with its least id; ids in that id's component need no more comparisons among
-themselves. The others are compared with the whole bucket in cells: both sides are dealt into blocks of at most CELL ids, and each pair of blocks is one cell,
-in which a vectorised test finds the pairs that may be linked. No row is made for a pair before it
-has passed that test, no task holds more than some cells, and a bucket of any size is many cells.
-
-An id gives at most 8 pairs per cell at first, then 64, and so on until none is left out: where ids
-are truly alike, the first few links join them and the rest never has to be looked at, and where
-they are not, all pairs that pass the test are verified. So no link between components is missed.
+A bucket is a key that some groups share; sets (documents, lines) of these groups may be linked only
+if their groups share a key. A group stands for all sets that no bucket tells apart; where each set
+has its own keys, it is its own group.
+
+First the group pairs of a bucket with its least group are filtered, and one set of each side is
+verified. A bucket all of whose sets are in one component then is closed: its groups are never
+expanded. Only the buckets that stay open are expanded to their sets. In those, sets outside the
+commonest component ask; they are compared with the whole bucket in cells: both sides are dealt into
+blocks of at most CELL sets, and each pair of blocks is one cell, in which a vectorised test, on
+groups first, finds the pairs that may be linked. No row is made for a pair before it has passed that
+test, and no task holds more than a cell, so a bucket of any size is many cells.
+
+Of the pairs that pass, a set gives the nearest for each other component that it meets; if these
+turn out to be no links, it gives the next, 8 times as many each round, until none is left out. So
+the rows made stay in proportion to sets and components, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -17,123 +23,199 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import Scratch, components, maybe_broadcast
 
 CELL = 1024
-FIRST_PAIRS = 8
+FIRST_PAIRS = 1
+#: Pairs that a task tests at once.
+FLAT = 1 << 19
+#: Keys that may be broadcast, after they have been counted: some 50 MB.
+KEY_ROWS = 2_000_000
 
+#: near(columns, i, j): distances of rows i to rows j, -1 where they can't be linked.
+Near = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
 
-def distinct_buckets(members: DataFrame, scratch: Scratch, two: Column | None = None) -> DataFrame:
-    """(key, id, least, size) of one bucket for each set of ids that some bucket has; buckets of one id go.
 
-    two, a condition on least and most, tells which buckets of two ids are worth keeping: where ids
-    are fingerprints, chance meetings go before they become rows.
+def buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, grp, place) of one bucket for each set of groups that some bucket has; buckets of one group go.
 
-    members (key, id), distinct. Ids are hashes, so count, least, largest and exclusive-or tell sets
-    apart. They combine before the one shuffle; buckets of two need no join to get their members.
+    members (key, grp, place), repeats allowed. Least and largest group tell which keys are shared;
+    they combine before the shuffle. What other keys hold is dropped before anything else moves.
+    Groups are hashes, so count, least, largest and exclusive-or tell sets of groups apart.
     """
-    marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor("id").alias("x"))
-    marks = marks.where("size > 1") if two is None else marks.where((F.col("size") > 2) | (F.col("size") == 2) & two)
-    marks = scratch.save(marks.groupBy("size", "least", "most", "x").agg(F.min("key").alias("key")))
-    two = marks.where("size = 2").select("key", F.explode(F.array("least", "most")).alias("id"), "least", "size")
-    more = marks.where("size > 2").select("key", "least", "size")
-    return two.unionByName(members.join(maybe_broadcast(more), "key").select("key", "id", "least", "size"))
+    shared = members.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least < most").select("key")
+    shared = scratch.save(shared)
+    held = scratch.save(members.join(maybe_broadcast(shared, KEY_ROWS), "key").groupBy("key", "grp").agg(F.min("place").alias("place")))
+    marks = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("grp").alias("least"), F.max("grp").alias("most"), F.bit_xor("grp").alias("x"))
+    kept = marks.groupBy("size", "least", "most", "x").agg(F.min("key").alias("key")).select("key", "least")
+    out = scratch.save(held.join(kept, "key").select("key", "grp", "place", "least"))
+    scratch.drop(shared, held)
+    return out
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _columns(batch) -> dict:
+    out = {}
+    for name in batch.schema.names:
+        c = batch.column(name)
+        out[name] = np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+    return out
 
 
-def _open(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, least, label, apart) of the buckets in which some id is apart from the least id's component."""
-    of = lambda at, to: labels.select(F.col("id").alias(at), F.col("label").alias(to))
-    now = large.join(of("id", "mine"), "id", "left").join(of("least", "first"), "least", "left")
-    now = scratch.save(now.select("key", "id", "least", F.coalesce("mine", "id").alias("label"), (F.coalesce("mine", "id") != F.coalesce("first", "least")).alias("apart")))
-    return now.join(maybe_broadcast(now.where("apart").select("key").distinct()), "key", "left_semi")
+def _passing(pairs: DataFrame, facts: list[str], near: Near) -> DataFrame:
+    """Distinct (a, b) of those pairs that near lets through; columns of the two sides are called a_ and b_."""
 
-
-def _cells(now: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows (key, x, y, role, id, label, apart, facts...) of cells: role 1 is compared with role 0."""
-    names = [c for c in facts.columns if c != "id"]
-    sizes = now.groupBy("key").agg(F.count_if("apart").alias("u"), F.count(F.lit(1)).alias("m"))
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            cols = _columns(batch)
+            both = {c: np.concatenate([cols[f"a_{c}"], cols[f"b_{c}"]]) for c in [*facts, "place"]}
+            ok = near(both, np.arange(n), n + np.arange(n)) >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cols["a_id"], cols["b_id"])[ok]), pa.array(np.maximum(cols["a_id"], cols["b_id"])[ok])], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
+def _first_pairs(held: DataFrame, sets: DataFrame, facts: list[str], near: Near, grouped: bool, scratch: Scratch) -> DataFrame:
+    """(a, b): one set of each group with one of the bucket's least group, and each set of a group with its least one."""
+    hubs = held.where("grp = least").select("key", F.col("grp").alias("a_grp"), F.col("place").alias("a_place"))
+    stars = held.where("grp <> least").join(hubs, "key").select("a_grp", "a_place", F.col("grp").alias("b_grp"), F.col("place").alias("b_place")).distinct()
+    reps = sets
+    if grouped:
+        first = sets.groupBy("grp").agg(F.min("id").alias("id"))
+        reps = scratch.save(sets.join(first, ["grp", "id"]))
+    side = lambda rows, s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ["grp", "id", *facts]])
+    out = _passing(stars.join(side(reps, "a"), "a_grp").join(side(reps, "b"), "b_grp"), facts, near)
+    if grouped:
+        inner = side(reps, "a").join(side(sets, "b"), F.col("a_grp") == F.col("b_grp")).where("a_id <> b_id")
+        out = out.unionByName(_passing(inner.withColumn("a_place", F.lit(-1)).withColumn("b_place", F.lit(-1)), facts, near))
+    return out
+
+
+def _open(held: DataFrame, sets: DataFrame, labels: DataFrame, grouped: bool, scratch: Scratch) -> DataFrame:
+    """(key, grp, place, id, label, asks) of the sets in buckets that have more than one component."""
+    labelled = sets.select("id", "grp").join(labels, "id", "left").select("id", "grp", F.coalesce("label", "id").alias("label"))
+    labelled = scratch.save(labelled)
+    of_group = labelled.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")) if grouped else labelled.select("grp", F.col("label").alias("low"), F.col("label").alias("high"), F.lit(1).alias("n"))
+    rows = scratch.save(held.select("key", "grp", "place").join(of_group, "grp"))
+    several = rows.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
+    rows = scratch.save(rows.join(maybe_broadcast(scratch.save(several)), "key", "left_semi"))
+    counts = rows.groupBy("key", "low").agg(F.sum("n").alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("n", "low")).getField("low").alias("main"))
+    return rows.join(main, "key").select("key", "grp", "place", "main").join(labelled, "grp").select("key", "grp", "place", "id", "label", (F.col("label") != F.col("main")).alias("asks"))
+
+
+def _cells(now: DataFrame, sets: DataFrame, facts: list[str]) -> DataFrame:
+    """Rows of cells (key, x, y): role 1 is compared with role 0."""
+    sizes = now.groupBy("key").agg(F.count_if("asks").alias("u"), F.count(F.lit(1)).alias("m")).where("u > 0")
     blocks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
-    now = now.join(sizes.select("key", blocks("u").alias("nx"), blocks("m").alias("ny")), "key").join(facts, "id")
+    now = now.join(sizes.select("key", blocks("u").alias("nx"), blocks("m").alias("ny")), "key").join(sets.select("id", *facts), "id")
     x, y = F.pmod(F.xxhash64("id", F.lit(1)), F.col("nx")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("ny")).cast("int")
-    ask = now.where("apart").select("key", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"), F.lit(1).alias("role"), "id", "label", "apart", *names)
-    answer = now.select("key", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), y.alias("y"), F.lit(0).alias("role"), "id", "label", "apart", *names)
+    rest = ["id", "label", "asks", "place", *facts]
+    ask = now.where("asks").select("key", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"), F.lit(1).alias("role"), *rest)
+    answer = now.select("key", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), y.alias("y"), F.lit(0).alias("role"), *rest)
     return ask.unionByName(answer)
 
 
-def _near_pairs(cells: DataFrame, names: list[str], near: Callable, most: int) -> DataFrame:
-    """(a, b, left): pairs of a cell that pass near and have two labels, at most `most` for an id; left tells of more."""
+def _nearest(asker, label, distance, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs to give: for each asker and label the `most` nearest; and the askers that have more."""
+    order = np.lexsort((distance, label, asker))
+    a, b = asker[order], label[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    nth = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+    return order[nth < most], np.unique(a[nth >= most])
+
+
+def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, most: int) -> DataFrame:
+    """(a, b, key, left): pairs of cells with two labels that pass near; left rows tell (a, key) of sets that have more."""
 
     def run(batches):
         held: list = []
 
         def flush(rows):
-            col = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in rows.schema.names}
+            col = _columns(rows)
             cell = np.stack([col["key"], col["x"], col["y"]], 1)
-            cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1), True])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                asks = a + np.flatnonzero(col["role"][a:b] == 1)
-                others = a + np.flatnonzero(col["role"][a:b] == 0)
-                for at in range(0, len(asks), 256):
-                    p = asks[at : at + 256]
-                    ok = near({c: col[c][p] for c in names}, {c: col[c][others] for c in names})
-                    ok &= col["label"][p][:, None] != col["label"][others]
-                    ok &= ~col["apart"][others] | (col["id"][p][:, None] < col["id"][others])  # two that ask meet once
-                    nth = ok.cumsum(1)
-                    i, j = np.nonzero(ok & (nth <= most))
-                    if len(i):
-                        one, two = col["id"][p][i], col["id"][others][j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(nth[i, -1] > most)], ["a", "b", "left"])
-
+            first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
+            ends = np.r_[first[1:], len(cell)]
+            asking = np.add.reduceat(col["role"], first)
+            # rows of a cell are sorted by role, so those that answer come first
+            of = np.repeat(np.arange(len(first)), ends - first)
+            asks = np.flatnonzero(col["role"] == 1)
+            answers = (ends - first - asking)[of[asks]]
+            upto = np.cumsum(answers)
+            at = 0
+            while at < len(asks):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + FLAT, "right")))
+                p, n = asks[at:to], answers[at:to]
+                i = np.repeat(p, n)
+                j = np.repeat(first[of[p]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                ok = (col["label"][i] != col["label"][j]) & (~col["asks"][j] | (col["id"][i] < col["id"][j]))  # two that ask meet once
+                i, j = i[ok], j[ok]
+                d = near(col, i, j)
+                i, j, d = i[d >= 0], j[d >= 0], d[d >= 0]
+                if len(i):
+                    give, more = _nearest(i, col["label"][j], d, most)
+                    one, two = col["id"][i[give]], col["id"][j[give]]
+                    a, b = np.r_[np.minimum(one, two), col["id"][more]], np.r_[np.maximum(one, two), col["id"][more]]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.r_[col["key"][i[give]], col["key"][more]]), pa.array(np.arange(len(a)) >= len(one))], ["a", "b", "key", "left"])
+                at = to
+
+        size = 0
         for batch in batches:
-            # the last cell of a batch may go on in the next
-            rows = pa.Table.from_batches([*held, batch])
+            held.append(batch)
+            size += batch.num_rows
+            if size < 4 * CELL:
+                continue
+            # the last cell may go on in the next batch
+            rows = pa.Table.from_batches(held)
             cell = np.stack([rows.column(c).to_numpy() for c in ("key", "x", "y")], 1)
-            last = int(np.flatnonzero((cell != cell[-1]).any(1)).max(initial=-1)) + 1 if len(cell) else 0
+            last = int(np.flatnonzero((cell != cell[-1]).any(1)).max(initial=-1)) + 1
             if last:
                 yield from flush(rows.slice(0, last).combine_chunks())
-            held = rows.slice(last).to_batches()
-        if held:
+            rest = rows.slice(last)
+            held, size = rest.to_batches(), rest.num_rows
+        if size:
             yield from flush(pa.Table.from_batches(held).combine_chunks())
 
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(run, "a long, b long, left boolean")
+    dealt = cells.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "role")
+    return dealt.mapInArrow(run, "a long, b long, key long, left boolean")
 
 
-def link(members: DataFrame, facts: DataFrame, may: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], near: Callable[[dict, dict], np.ndarray], verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def link(members: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFrame, object], DataFrame], scratch: Scratch, grouped: bool, prepare: Callable[[DataFrame], object] = lambda ids: None) -> DataFrame:
     """(id, label) of every id with a link; label is the least id of its component.
 
-    members (key, id), distinct; facts (id, ...). may, on columns, and near, on arrays of two sides,
-    are one test that only rejects pairs which verify would; verify takes pairs (a, b) and returns
-    those that are linked.
+    members (key, grp, place), sets (id, grp, facts...), repeats allowed in both; without grouped, each id is its own group.
+    near only rejects pairs that verify would; verify takes pairs (a, b), and what prepare made once
+    of the ids that may be asked for, and returns those pairs that are linked.
     """
-    members = scratch.save(distinct_buckets(members, scratch))
-    names = [c for c in facts.columns if c != "id"]
-    pairs = members.where("id <> least").select(*_pair("least", "id")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
-    pairs = scratch.save(pairs.where(may(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b"))
-    labels = components(scratch.save(verify(pairs)), scratch)
-    large = members.where("size > 2")
-    if large.isEmpty():
-        return labels
+    facts = [c for c in sets.columns if c not in ("id", "grp")]
+    held = buckets(members, scratch)
+    used = held.select("grp").distinct()
+    if grouped:
+        own = sets.groupBy("grp").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("grp")
+        held = scratch.save(held.unionByName(own.select(F.col("grp").alias("key"), "grp", F.lit(-1).alias("place"), F.col("grp").alias("least"))))
+        used = held.select("grp").distinct()
+    sets = scratch.save(sets.join(used, "grp", "left_semi").dropDuplicates(["id"]))
+    prepared = prepare(sets.select("id"))
+    pairs = scratch.save(_first_pairs(held, sets, facts, near, grouped, scratch))
+    labels = components(scratch.save(verify(pairs, prepared)), scratch)
+    now = scratch.save(_open(held, sets, labels, grouped, scratch))
     tested, most = pairs, FIRST_PAIRS
-    while True:
-        now = scratch.save(_open(large, labels, scratch))
-        large = now.select("key", "id", "least")  # components only grow, so a closed bucket stays closed
-        found = scratch.save(_near_pairs(_cells(now, facts), names, near, most))
-        new = scratch.save(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        links = scratch.save(verify(new))
+    while not now.isEmpty():
+        found = scratch.save(_cell_pairs(_cells(now, sets, facts), facts, near, most))
+        new = scratch.save(found.where("not left").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        links = scratch.save(verify(new, prepared))
         if not links.isEmpty():
             # old components are stars about their labels, so their edges need not be read again
             labels = components(links.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))), scratch)
-        if not found.where("left").limit(1).count():
-            return labels
+        left = scratch.save(found.where("left").select(F.col("a").alias("id"), "key", F.lit(True).alias("again")).distinct())
+        if left.isEmpty():
+            break
+        # only what was left out asks again, in its own buckets
+        rows = now.drop("label", "asks").join(maybe_broadcast(left.select("key").distinct()), "key", "left_semi").join(labels, "id", "left").join(left, ["id", "key"], "left")
+        now = scratch.save(rows.select("key", "grp", "place", "id", F.coalesce("label", "id").alias("label"), F.coalesce("again", F.lit(False)).alias("asks")))
         tested, most = scratch.save(tested.unionByName(new)), 8 * most
+    return labels

@@ -141,7 +141,7 @@ def lines_by_force(texts):
     for d, t in enumerate(texts):
         for n, raw in enumerate((t or "").split("\n")):
             w = lines.normalised(raw)
-            if len(w) >= lines.MIN_WORDS:
+            if w:
                 s = " ".join(w)
                 long = [x for x in w if len(x) > 3]
                 used = long if len(long) >= 3 else w
