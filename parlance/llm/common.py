@@ -126,6 +126,18 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made to differ from all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def with_ids(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra ones, whatever they are called, never enter a plan."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -174,6 +174,7 @@ def _near(cols: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs whose texts have the similarity. sets (id, key) names a text for each set."""
+    pairs = scratch.save(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ids = scratch.save(sets.join(maybe_broadcast(ids), "id").groupBy("id").agg(F.min("key").alias("key")))
     texts = docs.join(maybe_broadcast(ids.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))

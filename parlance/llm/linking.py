@@ -12,9 +12,11 @@ blocks of at most CELL sets, and each pair of blocks is one cell, in which a vec
 groups first, finds the pairs that may be linked. No row is made for a pair before it has passed that
 test, and no task holds more than a cell, so a bucket of any size is many cells.
 
-Of the pairs that pass, a set gives the nearest for each other component that it meets; if these
-turn out to be no links, it gives the next, 8 times as many each round, until none is left out. So
-the rows made stay in proportion to sets and components, and no link between components is missed.
+Of the pairs that pass, a set gives the nearest one of a cell first, since most sets are linked to
+that; then the nearest for each other component that it still meets, and if these turn out to be no
+links the next ones, 8 times as many each round, until none is left out. So the rows made stay in
+proportion to sets and components, and no link between components is missed. A pair that meets in
+several buckets is given in one of them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from parlance.llm.common import Scratch, components, maybe_broadcast
 
 CELL = 1024
 FIRST_PAIRS = 1
+#: A set knows so many of its buckets, those of least keys; a pair is given in the least one that both know.
+OWN_KEYS = 16
 #: Pairs that a task tests at once.
 FLAT = 1 << 19
 #: Keys that may be broadcast, after they have been counted: some 50 MB.
@@ -60,6 +64,12 @@ def _columns(batch) -> dict:
     out = {}
     for name in batch.schema.names:
         c = batch.column(name)
+        if pa.types.is_list(c.type):
+            c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+            sizes = np.diff(c.offsets.to_numpy())
+            out[name] = np.full((len(c), OWN_KEYS), np.iinfo(np.int64).max)
+            out[name][np.repeat(np.arange(len(c)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = c.flatten().to_numpy()
+            continue
         out[name] = np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
     return out
 
@@ -111,25 +121,41 @@ def _cells(now: DataFrame, sets: DataFrame, facts: list[str]) -> DataFrame:
     """Rows of cells (key, x, y): role 1 is compared with role 0."""
     sizes = now.groupBy("key").agg(F.count_if("asks").alias("u"), F.count(F.lit(1)).alias("m")).where("u > 0")
     blocks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
-    now = now.join(sizes.select("key", blocks("u").alias("nx"), blocks("m").alias("ny")), "key").join(sets.select("id", *facts), "id")
+    now = now.join(sizes.select("key", blocks("u").alias("nx"), blocks("m").alias("ny")), "key").join(sets.select("id", "own", *facts), "id")
     x, y = F.pmod(F.xxhash64("id", F.lit(1)), F.col("nx")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("ny")).cast("int")
-    rest = ["id", "label", "asks", "place", *facts]
+    rest = ["id", "label", "asks", "place", "own", *facts]
     ask = now.where("asks").select("key", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"), F.lit(1).alias("role"), *rest)
     answer = now.select("key", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), y.alias("y"), F.lit(0).alias("role"), *rest)
     return ask.unionByName(answer)
 
 
-def _nearest(asker, label, distance, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs to give: for each asker and label the `most` nearest; and the askers that have more."""
+def _met_before(col: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs share a known bucket of a lesser key than the one that they are met in."""
+    out = np.zeros(len(i), bool)
+    theirs = col["own"][j]
+    for k in range(OWN_KEYS):
+        mine = col["own"][i, k]
+        out |= (mine < col["key"][i]) & (theirs == mine[:, None]).any(1)
+    return out
+
+
+def _nearest(asker, label, distance, given: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs to give: for each asker and label those up to `most` that follow the `given` nearest; and the askers that have more.
+
+    Components only grow together, so a pair that was not given before is never among the nearest given.
+    """
     order = np.lexsort((distance, label, asker))
     a, b = asker[order], label[order]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     nth = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
-    return order[nth < most], np.unique(a[nth >= most])
+    return order[(nth >= given) & (nth < most)], np.unique(a[nth >= most])
 
 
-def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, most: int) -> DataFrame:
-    """(a, b, key, left): pairs of cells with two labels that pass near; left rows tell (a, key) of sets that have more."""
+def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, given: int, most: int) -> DataFrame:
+    """(a, b, key, left): pairs of cells with two labels that pass near; left rows tell (a, key) of sets that have more.
+
+    For each label those from the `given` nearest up to the `most` nearest; with most 0, one for all labels.
+    """
 
     def run(batches):
         held: list = []
@@ -155,8 +181,10 @@ def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, most: int) -> Da
                 i, j = i[ok], j[ok]
                 d = near(col, i, j)
                 i, j, d = i[d >= 0], j[d >= 0], d[d >= 0]
+                ok = ~_met_before(col, i, j)
+                i, j, d = i[ok], j[ok], d[ok]
                 if len(i):
-                    give, more = _nearest(i, col["label"][j], d, most)
+                    give, more = _nearest(i, col["label"][j] if most else np.zeros(len(j), np.int64), d, given, max(most, 1))
                     one, two = col["id"][i[give]], col["id"][j[give]]
                     a, b = np.r_[np.minimum(one, two), col["id"][more]], np.r_[np.maximum(one, two), col["id"][more]]
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.r_[col["key"][i[give]], col["key"][more]]), pa.array(np.arange(len(a)) >= len(one))], ["a", "b", "key", "left"])
@@ -184,14 +212,13 @@ def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, most: int) -> Da
     return dealt.mapInArrow(run, "a long, b long, key long, left boolean")
 
 
-def link(members: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFrame, object], DataFrame], scratch: Scratch, grouped: bool, prepare: Callable[[DataFrame], object] = lambda ids: None) -> DataFrame:
+def link(members: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFrame, object], DataFrame], scratch: Scratch, grouped: bool, prepare: Callable[[DataFrame], tuple[object, DataFrame]] = lambda sets: (None, sets)) -> DataFrame:
     """(id, label) of every id with a link; label is the least id of its component.
 
     members (key, grp, place), sets (id, grp, facts...), repeats allowed in both; without grouped, each id is its own group.
-    near only rejects pairs that verify would; verify takes pairs (a, b), and what prepare made once
-    of the ids that may be asked for, and returns those pairs that are linked.
+    near only rejects pairs that verify would. prepare may add facts to those sets that have
+    candidates, and makes what verify gets besides pairs (a, b), of which it returns the linked ones.
     """
-    facts = [c for c in sets.columns if c not in ("id", "grp")]
     held = buckets(members, scratch)
     used = held.select("grp").distinct()
     if grouped:
@@ -199,15 +226,17 @@ def link(members: DataFrame, sets: DataFrame, near: Near, verify: Callable[[Data
         held = scratch.save(held.unionByName(own.select(F.col("grp").alias("key"), "grp", F.lit(-1).alias("place"), F.col("grp").alias("least"))))
         used = held.select("grp").distinct()
     sets = scratch.save(sets.join(used, "grp", "left_semi").dropDuplicates(["id"]))
-    prepared = prepare(sets.select("id"))
+    prepared, sets = prepare(sets)
+    facts = [c for c in sets.columns if c not in ("id", "grp")]
+    own = held.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list("key")), 1, OWN_KEYS).alias("own"))
+    sets = scratch.save(sets.join(own, "grp"))
     pairs = scratch.save(_first_pairs(held, sets, facts, near, grouped, scratch))
     labels = components(scratch.save(verify(pairs, prepared)), scratch)
     now = scratch.save(_open(held, sets, labels, grouped, scratch))
-    tested, most = pairs, FIRST_PAIRS
+    given, most = 0, 0
     while not now.isEmpty():
-        found = scratch.save(_cell_pairs(_cells(now, sets, facts), facts, near, most))
-        new = scratch.save(found.where("not left").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        links = scratch.save(verify(new, prepared))
+        found = scratch.save(_cell_pairs(_cells(now, sets, facts), facts, near, given, most))
+        links = scratch.save(verify(found.where("not left").select("a", "b").distinct(), prepared))
         if not links.isEmpty():
             # old components are stars about their labels, so their edges need not be read again
             labels = components(links.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))), scratch)
@@ -217,5 +246,5 @@ def link(members: DataFrame, sets: DataFrame, near: Near, verify: Callable[[Data
         # only what was left out asks again, in its own buckets
         rows = now.drop("label", "asks").join(maybe_broadcast(left.select("key").distinct()), "key", "left_semi").join(labels, "id", "left").join(left, ["id", "key"], "left")
         now = scratch.save(rows.select("key", "grp", "place", "id", F.coalesce("label", "id").alias("label"), F.coalesce("again", F.lit(False)).alias("asks")))
-        tested, most = scratch.save(tested.unionByName(new)), 8 * most
+        given, most = most, 8 * most or FIRST_PAIRS
     return labels

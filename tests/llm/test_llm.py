@@ -17,12 +17,12 @@ from parlance.llm.common import Scratch, components
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; extra columns may have them.
-CLASH = "key long, id long, label string, n long, score double, prefix string"
+CLASH = "key long, id long, label string, n long, score double, prefix string, __key long, __doc long, __lines string, __text string, _key long, _doc string, _lines string, _text string, _n string, _nth string, _gone string, _score string, `a.b` string"
 
 
 def docs(spark, texts, ids=None):
     ids = range(len(texts)) if ids is None else ids
-    rows = [(i, t, "en", "s", None if t is None else len(t), 1, 2, "x", 3, 0.5, "y") for i, t in zip(ids, texts, strict=True)]
+    rows = [(i, t, "en", "s", None if t is None else len(t), 1, 2, "x", 3, 0.5, "y", 7, 8, "l", "t", 9, "d", "l", "t", "n", "nth", "g", "s", "dot") for i, t in zip(ids, texts, strict=True)]
     return spark.createDataFrame(rows, f"{DOCS}, {CLASH}")
 
 
@@ -134,21 +134,13 @@ def test_edit_distance():
 
 
 def lines_by_force(texts):
-    """Kept texts by all pairs of normalised lines under the operator's own definition."""
-    prints, normal, where = {}, {}, defaultdict(list)
-    from parlance.llm.textkit import hashed, simhash
-
+    """Kept texts by all pairs of normalised lines, on edit similarity alone."""
+    where = defaultdict(list)
     for d, t in enumerate(texts):
         for n, raw in enumerate((t or "").split("\n")):
-            w = lines.normalised(raw)
-            if w:
-                s = " ".join(w)
-                long = [x for x in w if len(x) > 3]
-                used = long if len(long) >= 3 else w
-                prints[s] = int(simhash(hashed(used), np.array([0]), np.array([len(used)]))[0])
-                normal[s] = s
-                where[s].append((d, n))
-    keys = list(normal)
+            if w := lines.normalised(raw):
+                where[" ".join(w)].append((d, n))
+    keys = list(where)
     at = {k: k for k in keys}
 
     def root(x):
@@ -158,7 +150,7 @@ def lines_by_force(texts):
 
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= lines.RADIUS and lines.similar(a, b):
+            if lines.similar(a, b):
                 at[root(a)] = root(b)
     groups = defaultdict(list)
     for k in keys:
@@ -497,8 +489,14 @@ def test_pipeline_keeps_odd_rows(spark):
     kept = corpus_pipeline.drop_near_copies(spark, d, SF)
     assert kept.columns == d.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "7", "8", "None"]
-    assert corpus_pipeline.drop_repeated_lines(spark, d, SF).columns == d.columns
-    assert corpus_pipeline.drop_contaminated(spark, d, SF).count() == 6
+    rest = [c for c in d.columns if c not in ("text", "n_chars")]
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_repeated_lines, corpus_pipeline.drop_contaminated):
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns and out.count() == 6, stage
+        assert sorted(map(str, out.select(*[f"`{c}`" for c in rest]).collect())) == sorted(map(str, d.select(*[f"`{c}`" for c in rest]).collect())), stage
+        assert stage(spark, d.limit(0), SF).count() == 0
+    assert corpus_pipeline.drop_near_copies(spark, d.limit(0), SF).count() == 0
+    assert corpus_pipeline.pack(spark, d.limit(0), SF).count() == 0
 
 
 def test_nothing_else_imports_llm():
