@@ -63,7 +63,7 @@ class _Sums(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         z = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
         return z
@@ -170,20 +170,21 @@ SPANS = "array<struct<start: bigint, end: bigint, score: double>>"
 def score(docs: DataFrame, model: NoisyOr, keep: list[str], names: tuple[str, str, str] = ("score", "predicted", "offending")) -> DataFrame:
     """docs' columns keep, then score, prediction and the offending sentences' code-point spans under names."""
     small_batches(docs.sparkSession)
-    rows = with_ids(docs, *dict.fromkeys([*keep, "text"]))
+    # inside the function columns go by place, as names may hold anything
+    kinds = dict(docs.dtypes)
+    rows = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
         sums = _Sums(model.weights)
         for b in batches:
-            p, where = model.score_all([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()], sums)
+            p, where = model.score_all([t or "" for t in b.column(0).to_pylist()], sums)
             spans = pa.array([[{"start": x, "end": y, "score": float(s)} for x, y, s in w] for w in where], span)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), spans],
+                [*[b.column(i + 1) for i in range(len(keep))], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), spans],
                 [*keep, *names],
             )
 
-    kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     return rows.mapInArrow(run, f"{schema}, {names[0]} double, {names[1]} int, {names[2]} {SPANS}")
 

@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: Chunks kept per Python worker.
-CACHE_CHUNKS = 400_000
+#: Bytes that the chunks kept per Python worker may take, by a count of CHUNK_BYTES besides letters and ids.
+CACHE_BYTES, CHUNK_BYTES = 32 << 20, 200
 _END = "\0"
 #: Finds a character outside the set.
 _plain = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-ɏ–—‘-”•…€]")
@@ -31,10 +31,8 @@ def _byte_of_char() -> dict[str, int]:
 class WordIds:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path, self.whole = path, None
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         byte, ranks = _byte_of_char(), {}
@@ -46,6 +44,16 @@ class WordIds:
         self.last = np.zeros(max(ranks.values()) + 1, bool)
         self.last[[i for b, i in ranks.items() if b.endswith(b"\0")]] = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def _tokenizer(self):
+        """The tokenizer itself, which takes some time and memory to load; most texts don't need it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        return self.whole
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes chunks between white space, across which the tokenizer never joins anything."""
@@ -59,6 +67,7 @@ class WordIds:
         a = 0
         for c, b in zip(chunks, (ends[np.cumsum([len(ws) for ws in words]) - 1] * 4).tolist(), strict=True):
             self.known[c] = raw[a:b]
+            self.held += CHUNK_BYTES + len(c) + b - a
             a = b
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -67,13 +76,13 @@ class WordIds:
         split = []
         for i, t in enumerate(texts):
             if _plain.search(t):
-                out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
+                out[i] = np.array(self._tokenizer().encode(t, add_special_tokens=False).ids, np.uint32)
             else:
                 split.append((i, t.lower().split()))
         for at in range(0, len(split), 64):
             part = split[at : at + 64]
-            if len(self.known) > CACHE_CHUNKS:
-                self.known = {}
+            if self.held > CACHE_BYTES:
+                self.known, self.held = {}, 0
             known = self.known
             if new := [c for c in set().union(*(cs for _, cs in part)) if c not in known]:
                 self._learn(new)
