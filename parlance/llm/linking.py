@@ -33,7 +33,7 @@ from parlance.llm.common import Scratch, components, maybe_broadcast
 CELL = 1024
 FIRST_PAIRS = 1
 #: A set knows so many of its buckets, those of least keys; a pair is given in the least one that both know.
-OWN_KEYS = 16
+OWN_KEYS = 8
 #: Pairs that a task tests at once.
 FLAT = 1 << 19
 #: Keys that may be broadcast, after they have been counted: some 50 MB.
@@ -212,14 +212,13 @@ def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, given: int, most
     return dealt.mapInArrow(run, "a long, b long, key long, left boolean")
 
 
-def link(members: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFrame, object], DataFrame], scratch: Scratch, grouped: bool, prepare: Callable[[DataFrame], tuple[object, DataFrame]] = lambda sets: (None, sets)) -> DataFrame:
+def link(held: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFrame, object], DataFrame], scratch: Scratch, grouped: bool, prepare: Callable[[DataFrame], tuple[object, DataFrame]] = lambda sets: (None, sets)) -> DataFrame:
     """(id, label) of every id with a link; label is the least id of its component.
 
-    members (key, grp, place), sets (id, grp, facts...), repeats allowed in both; without grouped, each id is its own group.
+    held as `buckets` makes it; sets (id, grp, facts...), repeats allowed; without grouped, each id is its own group.
     near only rejects pairs that verify would. prepare may add facts to those sets that have
     candidates, and makes what verify gets besides pairs (a, b), of which it returns the linked ones.
     """
-    held = buckets(members, scratch)
     used = held.select("grp").distinct()
     if grouped:
         own = sets.groupBy("grp").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("grp")
@@ -229,9 +228,12 @@ def link(members: DataFrame, sets: DataFrame, near: Near, verify: Callable[[Data
     prepared, sets = prepare(sets)
     facts = [c for c in sets.columns if c not in ("id", "grp")]
     own = held.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list("key")), 1, OWN_KEYS).alias("own"))
-    sets = scratch.save(sets.join(own, "grp"))
+    plain, sets = sets, scratch.save(sets.join(own, "grp"))
+    if hasattr(plain, "scratch_path"):
+        scratch.drop(plain)
     pairs = scratch.save(_first_pairs(held, sets, facts, near, grouped, scratch))
     labels = components(scratch.save(verify(pairs, prepared)), scratch)
+    scratch.drop(pairs)
     now = scratch.save(_open(held, sets, labels, grouped, scratch))
     given, most = 0, 0
     while not now.isEmpty():
