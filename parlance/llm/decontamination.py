@@ -36,6 +36,8 @@ RADIUS = 15
 SIMILARITY = 0.8
 ITEM_BLOCK = 2000
 SHINGLE = 5
+#: Words of windows that are laid out at once.
+WINDOW_WORDS = 1 << 18
 _word = re.compile(r"\w+")
 _NEAR = [0, *(sum(1 << b for b in bits) for n in range(1, RADIUS // 4 + 1) for bits in combinations(range(16), n))]
 
@@ -111,19 +113,18 @@ class Items:
                 w = shingles(h, n)
                 places[n].update(self.known(w).tolist())
         for n, starts in places.items():
-            at = np.array(sorted(starts), np.int64)
-            if not len(at):
-                continue
-            inside = np.repeat(at, n) + np.tile(np.arange(n), len(at))
-            prints = simhash(h[inside], np.arange(len(at)) * n, np.full(len(at), n))
-            for a, f in zip(at.tolist(), prints.tolist(), strict=True):
-                near = self.near(f).tolist()
-                window = np.unique(shingles(h[a : a + n], SHINGLE)) if near else None
-                for i in near:
-                    held = np.isin(self.sets[i], window)
-                    share = float(self.weights[i][held].sum() / self.weights[i].sum())
-                    if share >= SIMILARITY - 1e-12 and (i not in best or (-share, a) < (-best[i][0], best[i][1])):
-                        best[i] = (share, a, n)
+            every, step = np.array(sorted(starts), np.int64), max(1, WINDOW_WORDS // n)
+            for at in (every[k : k + step] for k in range(0, len(every), step)):
+                inside = np.repeat(at, n) + np.tile(np.arange(n), len(at))
+                prints = simhash(h[inside], np.arange(len(at)) * n, np.full(len(at), n))
+                for a, f in zip(at.tolist(), prints.tolist(), strict=True):
+                    near = self.near(f).tolist()
+                    window = np.unique(shingles(h[a : a + n], SHINGLE)) if near else None
+                    for i in near:
+                        held = np.isin(self.sets[i], window)
+                        share = float(self.weights[i][held].sum() / self.weights[i].sum())
+                        if share >= SIMILARITY - 1e-12 and (i not in best or (-share, a) < (-best[i][0], best[i][1])):
+                            best[i] = (share, a, n)
         return [(i, a, n, share) for i, (share, a, n) in sorted(best.items())]
 
 

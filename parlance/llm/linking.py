@@ -35,7 +35,7 @@ FIRST_PAIRS = 1
 #: A set knows so many of its buckets, those of least keys; a pair is given in the least one that both know.
 OWN_KEYS = 8
 #: Pairs that a task tests at once.
-FLAT = 1 << 19
+FLAT = 1 << 18
 #: Keys that may be broadcast, after they have been counted: some 50 MB.
 KEY_ROWS = 2_000_000
 

@@ -7,8 +7,9 @@ made a document toxic.
 
 Defined results: null or empty text counts as one sentence without words; a null doc_id is never
 held out and never learned from; repeated rows are scored alike; without any usable label every
-weight is 0 and every score is sigmoid(bias) of the prior. Only doc_id and text are read, so extra
-columns don't matter.
+weight is 0 and every score is sigmoid(bias) of the prior; very long texts are scored whole;
+documents whose hashes tie in the sample go by doc_id; an empty table gives no row. Only doc_id and
+text are read, so extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import small_batches, with_ids
+from parlance.llm.common import Scratch, small_batches, with_ids
 from parlance.llm.textkit import _xx
 
 #: The classifier is fitted on at most so many labelled documents of each class, taken in hash order.
 SAMPLE_PER_CLASS = 4000
-FEATURES = 2000
+#: Features of the classifier: those in LEAST_DOCUMENTS documents of the sample at least, whose log odds are over
+#: LEAST_DEVIATIONS standard errors from 0, the FEATURES farthest of them.
+FEATURES, LEAST_DOCUMENTS, LEAST_DEVIATIONS = 2000, 5, 3
 PREFIXES = (3, 4, 5, 6)
 FOLDS = 5
 _sentence = re.compile(r"[^.!?\n]+[.!?]*")
@@ -37,13 +40,14 @@ def held_out():
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(text, y) of at most 2 * per_class labelled documents outside the held-out fold."""
+    """(text, y) of at most 2 * per_class labelled documents outside the held-out fold; copies of a text count once."""
     known = with_ids(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = known.where("y = 1").orderBy(*order).limit(per_class).unionByName(known.where("y = 0").orderBy(*order).limit(per_class))
     bags = with_ids(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return bags.orderBy(*order, "text").limit(2 * per_class).select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    bags = bags.orderBy(*order, "text").limit(2 * per_class).select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    return bags.groupBy("text").agg(F.max("y").alias("y"))
 
 
 def bag(text: str) -> list[list[str]]:
@@ -58,14 +62,14 @@ def features(word: str) -> list[str]:
 class _Sums(dict):
     """Sum of a word's weights, kept for words seen lately."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
         if len(self) > 100_000:
             self.clear()
-        z = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        z = self[word] = sum(self.weights.get(_xx(f), 0.0) for f in features(word))
         return z
 
 
@@ -74,73 +78,11 @@ def _sigmoid(z):
 
 
 class NoisyOr:
-    """Feature weights and a bias; scores sentences and bags."""
+    """Weights of features, which go by their hashes, and a bias; scores sentences and bags."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
 
-    @classmethod
-    def fit(cls, texts: list[str], y: list[int], rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> NoisyOr:
-        seen = dict(zip(texts, y, strict=True))  # copies of a text count once
-        texts, y = list(seen), np.array(list(seen.values()), float)
-        positive, negative = y.sum(), len(y) - y.sum()
-        if not positive or not negative:
-            return cls({}, 3.0 if positive else -3.0)
-        ids: dict[str, int] = {}
-        bags = [[np.array([ids.setdefault(w, len(ids)) for w in s], np.int32) for s in bag(t)] for t in texts]
-        # features are told apart by hashes; a million strings would fill the driver
-        hashes, sizes = [], []
-        for w in ids:
-            f = features(w)
-            sizes.append(len(f))
-            hashes += map(_xx, f)
-        distinct, of = np.unique(np.array(hashes, np.uint64), return_inverse=True)
-        del hashes
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        with_feature = np.zeros((2, len(distinct)), np.int64)
-        for label, b in zip(y.astype(int).tolist(), bags, strict=True):
-            words = np.unique(np.concatenate(b))
-            if len(words):
-                n = ends[words] - starts[words]
-                at = np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                with_feature[label, np.unique(of[at])] += 1
-        n, p = with_feature
-        odds = np.log((p + 0.5) / (positive - p + 0.5)) - np.log((n + 0.5) / (negative - n + 0.5))
-        rank = np.where(p + n >= 5, np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)), 0)
-        chosen = sorted(np.flatnonzero(rank > 3).tolist(), key=lambda i: (-rank[i], int(distinct[i])))[:FEATURES]
-        place = np.full(len(distinct), -1)
-        place[chosen] = np.arange(len(chosen))
-        names, of_word = {}, {}
-        for i, w in enumerate(ids):
-            found = place[of[starts[i] : ends[i]]]
-            if (found >= 0).any():
-                of_word[i] = found[found >= 0].tolist()
-                names |= {f: x for x, f in zip(found.tolist(), features(w), strict=True) if x >= 0}
-        doc, sent, word = [], [], []
-        for d, b in enumerate(bags):
-            for s in b:
-                for w in s.tolist():
-                    if found := of_word.get(w):
-                        word += found
-                        sent += [len(doc)] * len(found)
-                doc.append(d)
-        doc, sent, word = np.array(doc), np.array(sent, int), np.array(word, int)
-        theta, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-        theta[-1] = -4.0
-        share = np.where(y > 0, 0.5 / positive, 0.5 / negative)  # both classes weigh the same
-        for t in range(1, rounds + 1):
-            z = np.clip(theta[-1] + np.bincount(sent, theta[word], len(doc)), -500, 500)
-            clean = np.bincount(doc, -np.logaddexp(0, z), len(y))  # log of the product of 1 - s
-            p = np.clip(-np.expm1(clean), 1e-9, 1)
-            pull = np.where(y > 0, -np.exp(clean) / p, 1.0) * share
-            dz = pull[doc] * _sigmoid(z)
-            g = np.append(np.bincount(word, dz[sent], len(chosen)), dz.sum())
-            g[:-1] += decay * theta[:-1]
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return cls({f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-3}, float(theta[-1]))
-
     def score_all(self, texts: list[str], sums: _Sums | None = None) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """The noisy-or of each bag, and (start, end, probability) of its sentences of at least 0.5."""
         sums = _Sums(self.weights) if sums is None else sums
@@ -189,6 +131,89 @@ def score(docs: DataFrame, model: NoisyOr, keep: list[str], names: tuple[str, st
     return rows.mapInArrow(run, f"{schema}, {names[0]} double, {names[1]} int, {names[2]} {SPANS}")
 
 
+def _chosen(sample: DataFrame, positive: int, negative: int) -> np.ndarray:
+    """Hashes, sorted, of the FEATURES features that tell the classes apart best, by counts of documents."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = {w for s in bag(text) for w in s}
+                out.append((y, np.unique(np.array([_xx(f) for w in words for f in features(w)], np.uint64))))
+            for y in (0, 1):
+                held = [f for label, f in out if label == y]
+                if held:
+                    f, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n * (y == 0)), pa.array(n * (y == 1))], ["f", "n", "p"])
+
+    counts = sample.mapInArrow(run, "f long, n long, p long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    top = counts.where(F.col("n") + F.col("p") >= LEAST_DOCUMENTS).toArrow()
+    f, n, p = (top.column(c).to_numpy() for c in ("f", "n", "p"))
+    f = f.astype(np.int64).view(np.uint64)
+    odds = np.log((p + 0.5) / (positive - p + 0.5)) - np.log((n + 0.5) / (negative - n + 0.5))
+    rank = np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+    order = np.lexsort((f, -rank))[:FEATURES]
+    return np.sort(f[order[rank[order] > LEAST_DEVIATIONS]])
+
+
+def _found(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(key, y, sentences, sentence, feature): where a document's sentences hold the chosen features."""
+    place = {int(f): i for i, f in enumerate(chosen)}
+
+    def run(batches):
+        known: dict[str, list[int]] = {}
+        for b in batches:
+            out = []
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sentences, sent, found = bag(text), [], []
+                for i, s in enumerate(sentences):
+                    for w in s:
+                        if w not in known:
+                            known[w] = [place[h] for h in map(_xx, features(w)) if h in place]
+                        found += known[w]
+                        sent += [i] * len(known[w])
+                out.append((_xx(text) >> 1, y, len(sentences), sent, found))
+                if len(known) > 100_000:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["key", "y", "sentences", "sentence", "feature"]) if out else pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))], ["key", "y", "sentences", "sentence", "feature"])
+
+    return sample.mapInArrow(run, "key long, y int, sentences int, sentence array<int>, feature array<int>")
+
+
+def descend(y: np.ndarray, sentences: np.ndarray, sent: np.ndarray, feature: np.ndarray, n: int, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+    """n weights and the bias that fit the labels y through the noisy-or, by gradient steps with moments.
+
+    sentences says how many each document has; sent, numbered over all documents, holds feature.
+    """
+    doc = np.repeat(np.arange(len(y)), sentences)
+    theta, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    theta[-1] = -4.0
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())  # both classes weigh the same
+    for t in range(1, rounds + 1):
+        z = np.clip(theta[-1] + np.bincount(sent, theta[feature], len(doc)), -500, 500)
+        clean = np.bincount(doc, -np.logaddexp(0, z), len(y))  # log of the product of 1 - s
+        p = np.clip(-np.expm1(clean), 1e-9, 1)
+        pull = np.where(y > 0, -np.exp(clean) / p, 1.0) * share
+        dz = pull[doc] * _sigmoid(z)
+        g = np.append(np.bincount(feature, dz[sent], n), dz.sum())
+        g[:-1] += decay * theta[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return theta
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> NoisyOr:
-    sample = training_sample(docs, labels, per_class).collect()
-    return NoisyOr.fit([r["text"] for r in sample], [r["y"] for r in sample])
+    """Executors turn the sample's texts into sparse features; only these, and counts of features, reach the driver."""
+    small_batches(docs.sparkSession)
+    sample = Scratch(docs.sparkSession, "toxicity").save(training_sample(docs, labels, per_class))
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if len(sizes) < 2:
+        return NoisyOr({}, 3.0 if 1 in sizes else -3.0)
+    chosen = _chosen(sample, sizes[1], sizes[0])
+    rows = _found(sample, chosen).toArrow().combine_chunks().sort_by("key")
+    y, sentences = rows.column("y").to_numpy(), rows.column("sentences").to_numpy()
+    sent, feature = (rows.column(c).combine_chunks() for c in ("sentence", "feature"))
+    starts = np.cumsum(sentences) - sentences
+    held = np.repeat(starts, np.diff(sent.offsets.to_numpy()))
+    theta = descend(y, sentences, held + sent.flatten().to_numpy(), feature.flatten().to_numpy(), len(chosen))
+    return NoisyOr({int(f): float(w) for f, w in zip(chosen, theta, strict=False) if abs(w) > 1e-3}, float(theta[-1]))

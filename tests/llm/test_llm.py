@@ -385,7 +385,18 @@ def test_toxicity(spark):
             assert any(re.search("awful|rotten", texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["offending"])
     other = labels.where(~toxicity.held_out())
     assert toxicity.fit(d, other).weights == model.weights  # the held-out fold is never looked at
-    assert toxicity.fit(d, labels.limit(0)).weights == {}
+    assert toxicity.fit(d, labels.limit(0)).weights == {} and toxicity.fit(d.limit(0), labels).weights == {}
+    assert toxicity.score(d.limit(0), model, ["doc_id"]).count() == 0
+    # the scores, computed plainly from the weights
+    from parlance.llm.textkit import _xx
+
+    for r in out:
+        text = next(t for t, i in zip(texts + [None, "", "awful " * 60000], [*range(600), 600, 601, None], strict=True) if i == r["doc_id"]) or ""
+        clean = 1.0
+        for s in re.findall(r"[^.!?\n]+[.!?]*", text) or [""]:
+            z = model.bias + sum(model.weights.get(_xx(f), 0.0) for w in re.findall(r"\w+", s.lower()) for f in toxicity.features(w))
+            clean *= 1 - 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        assert abs(r["score"] - (1 - clean)) < 1e-6
 
 
 def test_packing(spark):
