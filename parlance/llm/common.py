@@ -32,6 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.count = spark, 0
+        self.live: dict[str, int] = {}
         self.root = f"{shared_folder(spark)}/parlance-{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
@@ -39,6 +40,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
+        self.live[path] = self.count
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         self.spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of what has been collected
@@ -52,8 +54,16 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Frees tables that no later plan reads."""
         for df in frames:
+            self.live.pop(df.scratch_path, None)
             self._delete(df.scratch_path)
 
+    def release(self, since: int, *keep: DataFrame) -> None:
+        """Frees all tables after number `since` but those to keep."""
+        kept = {df.scratch_path for df in keep if hasattr(df, "scratch_path")}
+        for path in [p for p, n in self.live.items() if n > since and p not in kept]:
+            del self.live[path]
+            self._delete(path)
+
     def close(self) -> None:
         try:
             self._delete(self.root)
@@ -105,7 +115,9 @@ def components(edges: DataFrame, scratch: Scratch, task_edges: int = TASK_EDGES)
     e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = checksum(e, "u", "v")
     if before[0] <= task_edges:
-        return scratch.save(e.coalesce(1).mapInArrow(_united, "id long, label long"))
+        out = scratch.save(e.coalesce(1).mapInArrow(_united, "id long, label long"))
+        scratch.drop(e)
+        return out
     while before[0]:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))

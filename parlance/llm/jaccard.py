@@ -212,8 +212,9 @@ def join(docs: DataFrame) -> DataFrame:
     index = full.select("grp", F.posexplode("prefix").alias("place", "key"))
     sets = full.select("id", "grp", "n", "wide", *[f"s{i}" for i in range(8)])
     labels = link(buckets(index, scratch), sets, _near, lambda pairs, _: _verified(pairs, full.select("id", "key"), docs, scratch), scratch, True)
-    plain = rows.select("doc_id", "key", "n", "id")
+    plain = scratch.save(rows.select("doc_id", "key", "n", "id"))
     named = scratch.save(plain.where("n > 0").join(labels, "id", "left").select("doc_id", "key", "n", F.coalesce("label", "id").alias("label")))
+    scratch.release(0, plain, named)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(least, "label").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(plain.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -231,10 +231,11 @@ def link(held: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFra
     plain, sets = sets, scratch.save(sets.join(own, "grp"))
     if hasattr(plain, "scratch_path"):
         scratch.drop(plain)
+    at = scratch.count
     pairs = scratch.save(_first_pairs(held, sets, facts, near, grouped, scratch))
     labels = components(scratch.save(verify(pairs, prepared)), scratch)
-    scratch.drop(pairs)
     now = scratch.save(_open(held, sets, labels, grouped, scratch))
+    scratch.release(at, labels, now)
     given, most = 0, 0
     while not now.isEmpty():
         found = scratch.save(_cell_pairs(_cells(now, sets, facts), facts, near, given, most))
@@ -248,5 +249,6 @@ def link(held: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFra
         # only what was left out asks again, in its own buckets
         rows = now.drop("label", "asks").join(maybe_broadcast(left.select("key").distinct()), "key", "left_semi").join(labels, "id", "left").join(left, ["id", "key"], "left")
         now = scratch.save(rows.select("key", "grp", "place", "id", F.coalesce("label", "id").alias("label"), F.coalesce("again", F.lit(False)).alias("asks")))
+        scratch.release(at, labels, now)
         given, most = most, 8 * most or FIRST_PAIRS
     return labels
