@@ -466,9 +466,9 @@ def dialog_lines(spark, sf_dir):
     return ingest.dialog_lines(lines)
 
 
-@query("story_turns", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(translate(text, chr(10) || chr(13) || chr(9), '   '), '([.!?])(\s|$)', '\1' || chr(10), 'g'), chr(10)), lambda x: array_to_string(list_filter(regexp_split_to_array(translate(x, '<>', '()'), '\s+'), lambda w: w <> ''), ' ')), lambda x: len(string_split(x, ' ')) BETWEEN 3 AND 18) AS s FROM documents), k AS (SELECT * FROM s WHERE len(s) >= 2 ORDER BY doc_id LIMIT 300) SELECT doc_id AS section_idx, CAST(unnest(range(0, len(s))) AS BIGINT) AS turn_idx, 0 AS person_id, unnest(s) AS text FROM k""")
+@query("story_turns", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(translate(text, chr(10) || chr(13) || chr(9), '   '), '([.!?])(\s|$)', '\1' || chr(10), 'g'), chr(10)), lambda x: array_to_string(list_filter(regexp_split_to_array(translate(x, '<>', '()'), '\s+'), lambda w: w <> ''), ' ')), lambda x: len(string_split(x, ' ')) BETWEEN 3 AND 18) AS s FROM documents), k AS (SELECT * FROM s WHERE len(s) >= 2) SELECT doc_id AS section_idx, CAST(unnest(range(0, len(s))) AS BIGINT) AS turn_idx, 0 AS person_id, unnest(s) AS text FROM k""")
 def story_turns(spark, sf_dir):
-    return ingest.story_turns(documents(spark, sf_dir).select(F.col("doc_id").alias("section_idx"), F.col("text").alias("value")), limit=300)
+    return ingest.story_turns(documents(spark, sf_dir).select(F.col("doc_id").alias("section_idx"), F.col("text").alias("value")))
 
 
 TREE = """nodes AS (SELECT conv_id AS tree_id, turn AS node_id, CASE WHEN turn > 0 THEN turn - 1 - (turn % 2) * (turn // 3) % 2 END AS parent_id, turn AS pos, CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST((turn * 7 + conv_id) % 5 AS INTEGER) END AS rank, role, text FROM conversations)"""

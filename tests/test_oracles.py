@@ -29,7 +29,25 @@ def test_oracle(spark, db, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(db.sql(catalog.ORACLES[name]).df())
 
 
-def test_entry_works_without_llm():
+def test_story_limit(spark):
+    from parlance.sources import ingest
+
+    lines = spark.createDataFrame([(i, "One two three. Four five six.") for i in range(5)], "section_idx long, value string")
+    assert ingest.story_turns(lines, limit=2).count() == 4 and ingest.story_turns(lines).count() == 10
+
+
+def test_entry_works_without_llm(monkeypatch):
+    import importlib
+    import sys
+
     import __spark_entry__
 
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "parlance.llm.entry", None)
+        m.setitem(sys.modules, "corpus_pipeline", None)
+        m.delattr("parlance.llm.entry", raising=False)
+        alone = importlib.reload(__spark_entry__)
+        assert set(alone.queries()) == set(catalog.QUERIES) and set(alone.oracle_sql()) == set(catalog.ORACLES)
+    importlib.reload(__spark_entry__)
+
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
