@@ -194,8 +194,12 @@ TOKEN = r"(?U)[\p{IsAlphabetic}\p{N}']+|[^\p{IsAlphabetic}\p{N}'\s]"
 
 
 def tokenize(text: Column) -> Column:
-    """Special chunks as they are; of others, lower-cased, each run of letters, digits and ' and each other character."""
-    return F.flatten(F.transform(words(text), lambda w: F.when(is_special(w), F.array(w)).otherwise(F.regexp_extract_all(F.lower(w), F.lit(TOKEN), F.lit(0)))))
+    """Special chunks as they are; of others, lower-cased, each run of letters, digits and ' and each other character.
+
+    Letters are lower-cased one by one, so a capital sigma that ends a word is no final sigma.
+    """
+    lower = lambda w: F.lower(F.translate(w, "Σ", "σ"))
+    return F.flatten(F.transform(words(text), lambda w: F.when(is_special(w), F.array(w)).otherwise(F.regexp_extract_all(lower(w), F.lit(TOKEN), F.lit(0)))))
 
 
 def detokenize(tokens: Column) -> Column:

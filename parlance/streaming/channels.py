@@ -16,24 +16,31 @@ GAP_SECONDS = 1800
 def requests(stream: DataFrame) -> DataFrame:
     """(channel, seq, input) of JSON bodies (seq, body): the input trimmed and not empty, the channel `default` if none is named."""
     body = F.get_json_object("body", "$.input")
-    rows = stream.select(F.coalesce(F.get_json_object("body", "$.channel"), F.lit("default")).alias("channel"), "seq", F.trim(body).alias("input"))
+    rows = stream.select(F.coalesce(F.get_json_object("body", "$.channel_id"), F.lit("default")).alias("channel"), "seq", F.trim(body).alias("input"))
     return rows.where("input is not null and input <> ''")
 
 
-def history(stream: DataFrame, most: int = HISTORY) -> DataFrame:
-    """(channel, seq, entries): each channel's last `most` entries after each of its inputs; state is that list alone."""
+def history(stream: DataFrame, answer: Callable[[str, list[str]], str], most: int = HISTORY) -> DataFrame:
+    """(channel, seq, reply, entries): the reply to each input, and the channel's last `most` entries after it.
+
+    answer gets the input and the entries before it. Input and reply both enter, so 20 entries are 10
+    exchanges; an answer of None is a failed one, after which the channel stays as it was. State is
+    the list of entries alone.
+    """
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState):
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         out = []
         for seq, text in zip(rows["seq"], rows["input"], strict=True):
-            kept = [*kept, text][-most:]
-            out.append((key[0], seq, list(kept)))
+            reply = answer(text, list(kept))
+            if reply is not None:
+                kept = [*kept, text, reply][-most:]
+            out.append((key[0], seq, reply, list(kept)))
         state.update((kept,))
-        yield pd.DataFrame(out, columns=["channel", "seq", "entries"])
+        yield pd.DataFrame(out, columns=["channel", "seq", "reply", "entries"])
 
-    return stream.groupBy("channel").applyInPandasWithState(update, "channel string, seq long, entries array<string>", "entries array<string>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("channel").applyInPandasWithState(update, "channel string, seq long, reply string, entries array<string>", "entries array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def sections(stream: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:

@@ -141,6 +141,24 @@ def test_network(tmp_path):
     assert net.generate([3, 4], stop=1, forbidden=[0], k=1, most=5) == net.generate([3, 4], stop=1, forbidden=[0], k=1, most=5)
 
 
+def test_one_step_by_hand():
+    """The delta is clipped before it meets the input, and biases decay like weights."""
+    net = Network(6, dim=2, context=2, hidden=3, layers=1, seed=1)
+    for a in [net.embedding, *net.weights, *net.biases]:
+        a.value = a.value.astype(np.float64)
+    net.biases[-1].value[:] = 0.5
+    acts = net.activations(np.array([2, 3]), 0)
+    delta = acts[-1][0] - np.eye(6)[4]
+    w, b, clip, lr = net.weights[-1].value.copy(), net.biases[-1].value.copy(), 0.1, 0.01
+    net.train_step(np.array([2, 3]), 0, 4, lr, clip)
+    g = np.clip(delta, -clip, clip)
+    assert (abs(delta) > clip).any()
+    for value, old, grad in ((net.biases[-1], b, g), (net.weights[-1], w, g[:, None] * acts[-2])):
+        # at the first step the corrected moments are the gradient and its square
+        assert np.allclose(value.m, 0.1 * grad) and np.allclose(value.v, 0.001 * grad * grad)
+        assert np.allclose(value.value, old - lr * (grad / (abs(grad) + 1e-8) + 1e-4 * old), atol=1e-9)
+
+
 def test_gradients_are_right():
     net = Network(6, dim=2, context=2, hidden=5, layers=2, seed=3)
     for a in [net.embedding, *net.weights, *net.biases]:
@@ -159,14 +177,15 @@ def test_gradients_are_right():
 def test_streaming(spark, tmp_path):
     from parlance.streaming import channels
 
-    bodies = [(i, '{"channel":"a","input":"m%d"}' % i) for i in range(25)] + [(99, '{"input":" "}'), (100, '{"input":"solo"}')]
+    bodies = [(i, '{"channel_id":"a","channel":"z","input":"m%d"}' % i) for i in range(25)] + [(50, '{"channel_id":"b","input":"fail"}'), (99, '{"input":" "}'), (100, '{"input":"solo"}')]
     spark.createDataFrame(bodies, "seq long, body string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("seq long, body string").parquet(str(tmp_path / "in"))
-    q = channels.history(channels.requests(stream)).writeStream.format("memory").queryName("history").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = channels.history(channels.requests(stream), lambda text, before: None if text == "fail" else f"{text}:{len(before)}").writeStream.format("memory").queryName("history").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
     out = {(r["channel"], r["seq"]): r["entries"] for r in spark.table("history").collect()}
-    assert out["a", 24] == [f"m{i}" for i in range(5, 25)] and out["default", 100] == ["solo"] and len(out) == 26
+    assert out["a", 0] == ["m0", "m0:0"] and out["a", 24] == [x for i in range(15, 25) for x in (f"m{i}", f"m{i}:{min(2 * i, 20)}")]
+    assert out["default", 100] == ["solo", "solo:0"] and out["b", 50] == [] and len(out) == 27
     m = [("c", 1, 0), ("c", 2, 1799), ("c", 3, 3599), ("d", 1, 5)]
     spark.createDataFrame(m, "channel string, id long, ts_secs long").coalesce(1).write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema("channel string, id long, ts_secs long").parquet(str(tmp_path / "m"))

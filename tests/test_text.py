@@ -67,6 +67,7 @@ def test_tokens(spark):
     assert value(spark, T.tokenize, "don't worry it's fine") == ["don't", "worry", "it's", "fine"]
     assert value(spark, T.tokenize, "<PERSON_3> Hi __URL__ </PERSON_3> <PERSON_x>") == ["<PERSON_3>", "hi", "__URL__", "</PERSON_3>", "<", "person", "_", "x", ">"]
     assert value(spark, T.tokenize, "") == []
+    assert value(spark, T.tokenize, "ΣΟΦΟΣ ὈΔΥΣΣΕΎΣ, ς") == ["σοφοσ", "ὀδυσσεύσ", ",", "ς"]
     assert value(spark, lambda x: T.detokenize(T.tokenize(x)), "hello , world !") == "hello, world!"
 
 
