@@ -36,7 +36,7 @@ FIRST_PAIRS = 1
 OWN_KEYS = 8
 #: Pairs that a task tests at once.
 FLAT = 1 << 18
-#: Keys that may be broadcast, after they have been counted: some 50 MB.
+#: Keys that may be broadcast, after they have been counted: some 150 MB at most.
 KEY_ROWS = 2_000_000
 
 #: near(columns, i, j): distances of rows i to rows j, -1 where they can't be linked.
