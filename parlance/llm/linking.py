@@ -16,7 +16,9 @@ Of the pairs that pass, a set gives the nearest one of a cell first, since most
 that; then the nearest for each other component that it still meets, and if these turn out to be no
 links the next ones, 8 times as many each round, until none is left out. So the rows made stay in
 proportion to sets and components, and no link between components is missed. A pair that meets in
-several buckets is given in one of them.
+several buckets is given in one of them. Sets that are short texts move to the cells with their texts
+instead: there the pairs that pass are verified at once, nearest first, but for those that links have
+united already, so that pairs of sets that merely hold a common passage never become rows.
 """
 
 from __future__ import annotations
@@ -41,10 +43,14 @@ KEY_ROWS = 2_000_000
 
 #: near(columns, i, j): distances of rows i to rows j, -1 where they can't be linked.
 Near = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
+#: alike(x, y): whether two sets are linked, from their raw columns.
+Alike = Callable[[str, str], bool]
 
 
 def buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, grp, place) of one bucket for each set of groups that some bucket has; buckets of one group go.
+    """(key, grp, place, least, size) of one bucket for each set of groups that some bucket has; buckets of one group go.
+
+    size counts a bucket's groups, and least is its least one.
 
     members (key, grp, place), repeats allowed. Least and largest group tell which keys are shared;
     they combine before the shuffle. What other keys hold is dropped before anything else moves.
@@ -54,8 +60,8 @@ def buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.save(shared)
     held = scratch.save(members.join(maybe_broadcast(shared, KEY_ROWS), "key").groupBy("key", "grp").agg(F.min("place").alias("place")))
     marks = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("grp").alias("least"), F.max("grp").alias("most"), F.bit_xor("grp").alias("x"))
-    kept = marks.groupBy("size", "least", "most", "x").agg(F.min("key").alias("key")).select("key", "least")
-    out = scratch.save(held.join(kept, "key").select("key", "grp", "place", "least"))
+    kept = marks.groupBy("size", "least", "most", "x").agg(F.min("key").alias("key")).select("key", "least", "size")
+    out = scratch.save(held.join(kept, "key").select("key", "grp", "place", "least", "size"))
     scratch.drop(shared, held)
     return out
 
@@ -105,7 +111,11 @@ def _first_pairs(held: DataFrame, sets: DataFrame, facts: list[str], near: Near,
 
 
 def _open(held: DataFrame, sets: DataFrame, labels: DataFrame, grouped: bool, scratch: Scratch) -> DataFrame:
-    """(key, grp, place, id, label, asks) of the sets in buckets that have more than one component."""
+    """(key, grp, place, id, label, asks) of the sets in buckets that have more than one component.
+
+    Where a group is one set, the only pair of a bucket of two has been looked at, so these are closed.
+    """
+    held = held if grouped else held.where("size > 2")
     labelled = sets.select("id", "grp").join(labels, "id", "left").select("id", "grp", F.coalesce("label", "id").alias("label"))
     labelled = scratch.save(labelled)
     of_group = labelled.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")) if grouped else labelled.select("grp", F.col("label").alias("low"), F.col("label").alias("high"), F.lit(1).alias("n"))
@@ -151,17 +161,36 @@ def _nearest(asker, label, distance, given: int, most: int) -> tuple[np.ndarray,
     return order[(nth >= given) & (nth < most)], np.unique(a[nth >= most])
 
 
-def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, given: int, most: int) -> DataFrame:
+def _links(col: dict, i: np.ndarray, j: np.ndarray, d: np.ndarray, alike: Alike, up: dict) -> list[tuple[int, int]]:
+    """Links among the pairs i, j, nearest first; up holds what has been united, and pairs of one component are passed over."""
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    order = np.argsort(d, kind="stable")
+    for m, n in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        x, y = root(int(col["label"][m])), root(int(col["label"][n]))
+        if x != y and alike(col["raw"][m], col["raw"][n]):
+            up[max(x, y)] = min(x, y)
+            out.append((int(col["id"][m]), int(col["id"][n])))
+    return out
+
+
+def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, given: int, most: int, alike: Alike | None = None) -> DataFrame:
     """(a, b, key, left): pairs of cells with two labels that pass near; left rows tell (a, key) of sets that have more.
 
     For each label those from the `given` nearest up to the `most` nearest; with most 0, one for all labels.
+    With alike, cells have raw, and all pairs that pass near are verified at once: only links become rows.
     """
 
     def run(batches):
         held: list = []
 
         def flush(rows):
-            col = _columns(rows)
+            col, up = _columns(rows), {}
             cell = np.stack([col["key"], col["x"], col["y"]], 1)
             first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
             ends = np.r_[first[1:], len(cell)]
@@ -183,7 +212,11 @@ def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, given: int, most
                 i, j, d = i[d >= 0], j[d >= 0], d[d >= 0]
                 ok = ~_met_before(col, i, j)
                 i, j, d = i[ok], j[ok], d[ok]
-                if len(i):
+                if alike is not None:
+                    if links := _links(col, i, j, d, alike, up):
+                        a, b = (pa.array(x, pa.int64()) for x in zip(*links, strict=True))
+                        yield pa.RecordBatch.from_arrays([a, b, a, pa.array([False] * len(links))], ["a", "b", "key", "left"])
+                elif len(i):
                     give, more = _nearest(i, col["label"][j] if most else np.zeros(len(j), np.int64), d, given, max(most, 1))
                     one, two = col["id"][i[give]], col["id"][j[give]]
                     a, b = np.r_[np.minimum(one, two), col["id"][more]], np.r_[np.maximum(one, two), col["id"][more]]
@@ -212,34 +245,38 @@ def _cell_pairs(cells: DataFrame, facts: list[str], near: Near, given: int, most
     return dealt.mapInArrow(run, "a long, b long, key long, left boolean")
 
 
-def link(held: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFrame, object], DataFrame], scratch: Scratch, grouped: bool, prepare: Callable[[DataFrame], tuple[object, DataFrame]] = lambda sets: (None, sets)) -> DataFrame:
+def link(held: DataFrame, sets: DataFrame, near: Near, verify: Callable[[DataFrame, object], DataFrame], scratch: Scratch, grouped: bool, prepare: Callable[[DataFrame], DataFrame] = lambda sets: sets, alike: Alike | None = None) -> DataFrame:
     """(id, label) of every id with a link; label is the least id of its component.
 
     held as `buckets` makes it; sets (id, grp, facts...), repeats allowed; without grouped, each id is its own group.
     near only rejects pairs that verify would. prepare may add facts to those sets that have
-    candidates, and makes what verify gets besides pairs (a, b), of which it returns the linked ones.
+    candidates. verify gets pairs (a, b) and the sets, and returns the pairs that are linked. With
+    alike, sets have a column raw, and open buckets are verified in their cells, in one round.
     """
     used = held.select("grp").distinct()
     if grouped:
         own = sets.groupBy("grp").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("grp")
-        held = scratch.save(held.unionByName(own.select(F.col("grp").alias("key"), "grp", F.lit(-1).alias("place"), F.col("grp").alias("least"))))
+        held = scratch.save(held.unionByName(own.select(F.col("grp").alias("key"), "grp", F.lit(-1).alias("place"), F.col("grp").alias("least"), F.lit(0).cast("long").alias("size"))))
         used = held.select("grp").distinct()
     sets = scratch.save(sets.join(used, "grp", "left_semi").dropDuplicates(["id"]))
-    prepared, sets = prepare(sets)
-    facts = [c for c in sets.columns if c not in ("id", "grp")]
+    sets = prepare(sets)
+    facts = [c for c in sets.columns if c not in ("id", "grp", "raw")]
     own = held.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list("key")), 1, OWN_KEYS).alias("own"))
     plain, sets = sets, scratch.save(sets.join(own, "grp"))
     if hasattr(plain, "scratch_path"):
         scratch.drop(plain)
     at = scratch.count
     pairs = scratch.save(_first_pairs(held, sets, facts, near, grouped, scratch))
-    labels = components(scratch.save(verify(pairs, prepared)), scratch)
+    labels = components(scratch.save(verify(pairs, sets)), scratch)
     now = scratch.save(_open(held, sets, labels, grouped, scratch))
     scratch.release(at, labels, now)
     given, most = 0, 0
+    if alike is not None and not now.isEmpty():
+        links = scratch.save(_cell_pairs(_cells(now, sets, [*facts, "raw"]), facts, near, 0, 0, alike).select("a", "b"))
+        return components(links.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))), scratch)
     while not now.isEmpty():
         found = scratch.save(_cell_pairs(_cells(now, sets, facts), facts, near, given, most))
-        links = scratch.save(verify(found.where("not left").select("a", "b").distinct(), prepared))
+        links = scratch.save(verify(found.where("not left").select("a", "b").distinct(), sets))
         if not links.isEmpty():
             # old components are stars about their labels, so their edges need not be read again
             labels = components(links.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))), scratch)
