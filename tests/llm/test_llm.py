@@ -241,19 +241,22 @@ def test_topk_prunes():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(4, 8)) * 900
     x = np.floor(np.concatenate([c + rng.normal(size=(200, 8)) * 5 for c in centres]))
-    top = (x * x).sum(1).max()
+    ids, top = np.arange(len(x)), (x * x).sum(1).max()
     pivots = topk.fit_pivots(topk._lifted(x, top), 4)
     d = topk._distances(topk._lifted(x, top), pivots)
-    q = x[:5]
-    s = topk.Search(np.arange(5), q, topk._distances(np.hstack([q, np.zeros((5, 1))]), pivots), pivots, top, 3)
-    cells = [(p, np.flatnonzero(d.argmin(1) == p)) for p in range(4)]
-    info = [(p, d[m, p].min(), d[m, p].max()) for p, m in cells]
-    for i in s.order(info):
-        s.cell(*info[i], cells[i][1], x[cells[i][1]])
-    for i in range(5):
-        score = x @ q[i]
-        want = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-score[j], j))[:3]
-        assert [v for _, v in s.best[i]] == want
+    cells = [part for p in range(4) for part in np.array_split(np.flatnonzero(d.argmin(1) == p), 5)]
+    low, high = np.stack([d[c].min(0) for c in cells]), np.stack([d[c].max(0) for c in cells])
+    asked = np.arange(0, len(x), 50)
+    q = x[asked]
+    for least in (None, topk.seeds(asked, q, ids[::3], x[::3], 3)):
+        s = topk.Search(asked, q, topk._distances(np.hstack([q, np.zeros((len(q), 1))]), pivots), top, 3, least)
+        s.expand(low, high, [(ids[c], x[c]) for c in cells])
+        assert s.visited < s.met == len(asked) * len(cells)
+        scores = x @ q.T
+        assert (s.bounds(low, high) >= [[scores[c, i].max() for c in cells] for i in range(len(q))]).all()
+        for i, own in enumerate(asked):
+            want = sorted((j for j in range(len(x)) if j != own), key=lambda j: (-scores[j, i], j))[:3]
+            assert [v for _, v in s.best[i]] == want
 
 
 def test_sharding(spark):
