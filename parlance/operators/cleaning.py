@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
+from parlance.operators.ordering import numbered
 
 ORDER = ["section_idx", "turn_idx"]
 DEDUP_CAP, PREFIX_CAP, PREFIX_WORDS = 3, 10, 3
@@ -141,6 +142,45 @@ def clean(turns: DataFrame, rules=RULES) -> DataFrame:
     return turns
 
 
+def counters(turns: DataFrame) -> DataFrame:
+    """(counter, n): sections and turns before and after cleaning, and what each rule dropped, touched or replaced.
+
+    A section that is dropped as a monologue isn't counted as one with a single speaker, and a turn
+    counts for the first rule that drops it. All rewrites are counted in one pass.
+    """
+    sizes = turns.groupBy("section_idx").agg(F.count(F.lit(1)).alias("n"), F.max("person_id").alias("most"), F.min("person_id").alias("least"))
+    out = sizes.agg(F.count(F.lit(1)).alias("sections_before"), F.coalesce(F.sum("n"), F.lit(0)).alias("turns_before"), F.count_if(F.expr("most = 0 and least = 0")).alias("sec_monologue"), F.count_if(F.expr("most = least and most <> 0")).alias("sec_single_speaker"))
+    spoken = drop_one_sided(turns)
+    reason = spoken.withColumn("__r", turn_reason(F.col("text")))
+    names = {4: "turn_url_dominant", 5: "turn_no_alphanum", 6: "turn_role_ping"}
+    out = out.join(reason.agg(F.countDistinct("section_idx").alias("sections_spoken"), F.count_if(F.col("__r").isNull()).alias("turns_kept"), *[F.count_if(F.col("__r") == r).alias(c) for r, c in names.items()]))
+    capped = cap_repeats(drop_turns(spoken))
+    out = out.join(capped.agg(F.count(F.lit(1)).alias("turns_capped")))
+    rewrites = {"url_tokens": rewrite_urls, "mention_tokens": rewrite_mentions, "emoji_tokens": rewrite_emoji, "markdown_tokens": strip_markdown, "escape_chars": strip_escapes}
+    rewritten = drop_short_sections(capped)
+    for c, rule in rewrites.items():
+        rewritten = rule(rewritten, c)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rewrites] + [F.count_if(F.col(c) > 0).alias(f"{c.split('_')[0]}_turns") for c in rewrites]
+    out = out.join(rewritten.agg(*sums))
+    full = drop_short_sections(drop_empty_turns(rewritten.drop(*rewrites)))
+    out = out.join(full.agg(F.count(F.lit(1)).alias("turns_full")))
+    short = cap_prefixes(full)
+    out = out.join(short.agg(F.count(F.lit(1)).alias("turns_short")))
+    left = drop_short_sections(short)
+    out = out.join(left.agg(F.countDistinct("section_idx").alias("sections_after"), F.count(F.lit(1)).alias("turns_after")))
+    out = out.withColumns({"turn_dedup_cap": F.expr("turns_kept - turns_capped"), "turn_prefix_cap": F.expr("turns_full - turns_short"), "sec_too_short": F.expr("sections_spoken - sections_after")})
+    out = out.drop("sections_spoken", "turns_kept", "turns_capped", "turns_full", "turns_short")
+    return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns]).unpivot([], out.columns, "counter", "n")
+
+
+def clean_shuffled(turns: DataFrame, seed: int = 0) -> DataFrame:
+    """Cleaned turns whose sections are renumbered from 0 in a seeded order, so that a tail of them is a fair sample."""
+    kept = clean(turns)
+    sections = kept.select("section_idx").distinct().withColumn("__hash", F.xxhash64("section_idx", F.lit(seed)))
+    places = numbered(sections, ["__hash", "section_idx"], "__place").select("section_idx", F.col("__place").cast("long").alias("__place"))
+    return kept.join(places, "section_idx").withColumn("section_idx", F.col("__place")).drop("__place")
+
+
 def metrics(turns: DataFrame) -> DataFrame:
     """(step, sections, turns) before cleaning and after each rule, and what each rewrite replaced."""
     n, out = 0, []

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
+from parlance.operators.ordering import numbered
+from parlance.sources.corpus import exists
+from parlance.sources.ingest import person_rows
+
+SCHEMA = "person_id long, user_id long, display_name string"
 
 
 def assign(persons: DataFrame, users: DataFrame) -> DataFrame:
     """persons and the users (user_id, display_name, first_seen) that it lacks, numbered on by first_seen.
 
-    Known users keep their old name. Only new users are ranked.
+    Known users keep their old name. Only new users are ranked, by ranges of first_seen, a number.
     """
     new = users.groupBy("user_id").agg(F.min(F.struct("first_seen", "display_name")).alias("f")).join(persons.select("user_id"), "user_id", "left_anti")
     next_id = persons.agg((F.coalesce(F.max("person_id"), F.lit(-1)) + 1).alias("next"))
-    ranked = new.withColumn("nth", F.row_number().over(Window.orderBy("f.first_seen", "user_id")) - 1).join(F.broadcast(next_id))
-    added = ranked.select((F.col("next") + F.col("nth")).cast("long").alias("person_id"), "user_id", F.col("f.display_name").alias("display_name"))
+    ranked = numbered(new.select("user_id", "f.first_seen", "f.display_name"), ["first_seen", "user_id"]).join(F.broadcast(next_id))
+    added = ranked.select((F.col("next") + F.col("nth")).cast("long").alias("person_id"), "user_id", "display_name")
     return persons.select(F.col("person_id").cast("long").alias("person_id"), "user_id", "display_name").unionByName(added)
 
 
@@ -37,3 +42,18 @@ def lookup(persons: DataFrame, users: DataFrame) -> DataFrame:
 
 def tags(persons: DataFrame) -> DataFrame:
     return persons.select("person_id", T.open_tag(F.col("person_id")).alias("open"), T.close_tag(F.col("person_id")).alias("close"))
+
+
+def save(persons: DataFrame, path: str) -> None:
+    """One file of tab-separated lines in order of person_id; line breaks in names become spaces."""
+    name = F.regexp_replace(F.coalesce("display_name", F.lit("")), r"[\r\n]", " ")
+    line = F.concat_ws("\t", F.col("person_id").cast("string"), F.col("user_id").cast("string"), name)
+    persons.orderBy("person_id").coalesce(1).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Persons of a file; none if there is no such file, an error where ids don't count the rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], SCHEMA)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\r?\n")).alias("nth", "value"))
+    return person_rows(lines.where("value <> ''"))

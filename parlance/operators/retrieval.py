@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.functions.vectors import cosine
+from parlance.functions.vectors import cosine, dot
+from parlance.operators.vocabulary import encode
 
 
 def centroids(ids: DataFrame, embeddings: DataFrame, keys: list[str], dim: int) -> DataFrame:
@@ -21,6 +22,18 @@ def centroids(ids: DataFrame, embeddings: DataFrame, keys: list[str], dim: int)
     return ids.select(*keys).join(vectors, keys, "left").withColumn("embedding", F.coalesce("embedding", zeros))
 
 
+def build_index(turns: DataFrame, vocab: DataFrame, embeddings: DataFrame, dim: int) -> DataFrame:
+    """(section_idx, turn_idx, person_id, tokens, embedding): a row for each turn with tokens, unknown ones skipped in its mean."""
+    spoken = encode(turns, vocab).withColumn("tokens", T.tokenize(F.col("text"))).where(F.size("tokens") > 0)
+    keys = ["section_idx", "turn_idx"]
+    return spoken.select(*keys, "person_id", "tokens").join(centroids(spoken, embeddings, keys, dim), keys)
+
+
+def rendered(person: Column, tokens: Column) -> Column:
+    """A row of the index as an entry of a history."""
+    return F.array_join(T.wrap(person, tokens), " ")
+
+
 def group_means(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     """(key, dim, mean) of array column vec."""
     return vectors.select(key, F.posexplode(vec).alias("dim", "x")).groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
@@ -34,11 +47,27 @@ def top_k(index: DataFrame, query: Column, k: int, order: str) -> DataFrame:
     return scored.orderBy(F.desc("score"), order).limit(k)
 
 
+#: Queries that every task may get at once; more are searched in blocks of this size.
+QUERY_BLOCK = 1000
+
+
 def top_k_each(index: DataFrame, queries: DataFrame, k: int, order: str) -> DataFrame:
-    """As top_k for each row of queries (query_id, query), a small counted set that every task gets."""
-    scored = index.join(F.broadcast(queries)).withColumn("score", cosine(F.col("query"), F.col("embedding"))).where(~F.isnan("score"))
+    """As top_k for each row of queries (query_id, query); they go to all tasks in counted blocks, and norms are taken once a row.
+
+    Vectors are as long as one another here. Each block cuts its rows to k a query before they move.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    index = index.withColumn("__norm", norm("embedding"))
+    queries = queries.withColumn("__query_norm", norm("query")).withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    norms = F.col("__query_norm") * F.col("__norm")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), order))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = None
+    for block in range(blocks):
+        scored = index.join(F.broadcast(queries.where(F.col("__block") == block))).withColumn("score", F.when(norms > 0, dot(F.col("query"), F.col("embedding")) / norms).otherwise(0.0))
+        kept = scored.where(~F.isnan("score")).drop("__norm", "__query_norm", "__block").withColumn("rank", rank).where(F.col("rank") <= k)
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 def section_similarity(turns: DataFrame, memory: list[str]) -> DataFrame:

@@ -83,5 +83,34 @@ def window_prompt(messages: DataFrame) -> DataFrame:
     return rows.groupBy("channel", "window").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
 
 
+def window_boundaries(messages: DataFrame, answers: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """(channel, id) of messages that start a section by answers (channel, window, answer), one for each window.
+
+    An answer is a text with an array of positions. Position 0 starts the window, not a section, and
+    counts for nothing; nor do positions beyond the window. Windows that overlap give a message once.
+    """
+    at = answers.select("channel", "window", F.explode(F.array_distinct(T.index_array(F.col("answer")))).alias("position")).where("position >= 1")
+    return sliding_windows(messages, size, stride).join(at, ["channel", "window", "position"]).select("channel", "id").distinct()
+
+
+def cache_keys(messages: DataFrame) -> DataFrame:
+    """(channel, key): the first and the last id of a channel; what is kept for a channel holds as long as its key does."""
+    return messages.groupBy("channel").agg(F.concat_ws(":", F.min("id"), F.max("id")).alias("key"))
+
+
+def keep_boundaries(messages: DataFrame, boundaries: DataFrame, path: str) -> None:
+    """Appends (channel, key, ids) of all channels, also those without boundaries, to the cache at path."""
+    ids = boundaries.groupBy("channel").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    kept = cache_keys(messages).join(ids, "channel", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    kept.write.mode("append").parquet(path)
+
+
+def kept_boundaries(messages: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boundaries (channel, id) of channels whose key the cache (channel, key, ids) has, and the channels (channel) that it lacks."""
+    keys = cache_keys(messages)
+    valid = cache.join(keys, ["channel", "key"], "left_semi")
+    return valid.select("channel", F.explode("ids").alias("id")).distinct(), keys.join(valid, "channel", "left_anti").select("channel")
+
+
 def totals(turns: DataFrame) -> DataFrame:
     return turns.agg(F.countDistinct("channel", "section").alias("sections"), F.count(F.lit(1)).alias("turns"), (F.max("person_id") + 1).alias("persons"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.functions.vectors import window_ids
+from parlance.operators.ordering import numbered
 
 CONTENT_CAP = 3000
 TARGET_TOKENS = 20
+PRELUDE_DROP = 0.3
 CONTEXT = 32
 
 
@@ -96,10 +98,55 @@ def training_windows(turns: DataFrame, vocab: DataFrame, target: int = TARGET_TO
     return rows.select("section_idx", "turn_idx", "step", window_ids(F.col("seen"), tokens, 0).alias("window"), "label_id")
 
 
-def validation_split(rows: DataFrame, fraction: float, order: list[str], n: int) -> DataFrame:
-    """Adds is_val: the tail round(n * fraction), at least 1 and at most n - 1. n is the counted number of rows."""
+def _tail(rows: DataFrame, order: list[str], n: int, tail: int, most_train: int | None, most_val: int | None) -> DataFrame:
+    nth = F.col("__nth")
+    is_val = nth >= n - tail
+    kept = numbered(rows, order, "__nth").withColumn("is_val", is_val)
+    if most_train is not None:
+        kept = kept.where(F.col("is_val") | (nth < most_train))
+    if most_val is not None:
+        kept = kept.where(~F.col("is_val") | (nth - (n - tail) < most_val))
+    return kept.drop("__nth")
+
+
+def validation_split(rows: DataFrame, fraction: float, order: list[str], n: int, most_train: int | None = None, most_val: int | None = None) -> DataFrame:
+    """Adds is_val: the tail round(n * fraction), at least 1 and at most n - 1. n is the counted number of rows.
+
+    After the split each part is cut to its first most_train or most_val rows, if these are given.
+    """
     if n < 2:
         raise ValueError("a split needs two examples")
-    tail = min(max(int(n * fraction + 0.5), 1), n - 1)
-    last = rows.orderBy(*[F.desc(c) for c in order]).limit(tail).select(*order, F.lit(True).alias("__val"))
-    return rows.join(last, order, "left").withColumn("is_val", F.coalesce("__val", F.lit(False))).drop("__val")
+    return _tail(rows, order, n, min(max(int(n * fraction + 0.5), 1), n - 1), most_train, most_val)
+
+
+def pretrain_split(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Adds is_val: the last tenth of n rows, rounded down; at least 1, at most n - 1."""
+    return _tail(rows, order, n, min(max(n // 10, 1), max(n - 1, 0)), None, None)
+
+
+def drop_preludes(rows: DataFrame, epoch: int, p: float = PRELUDE_DROP, seed: int = 0) -> DataFrame:
+    """Training examples, of which a share p, another one each epoch, loses its prelude; a row's draw depends on its place alone."""
+    draw = F.pmod(F.xxhash64("section_idx", "turn_idx", F.lit(epoch), F.lit(seed)), F.lit(1 << 32)) / (1 << 32)
+    return rows.withColumn("prelude", F.when(draw < p, F.array().cast("array<string>")).otherwise(F.col("prelude")))
+
+
+def prefix_histogram(turns: DataFrame, n_words: int = 3) -> DataFrame:
+    """(prefix, turns) of the bot's turns with n words or more."""
+    return turns.where("person_id = 0").select(T.prefix_key(F.col("text"), n_words).alias("prefix")).where("prefix is not null").groupBy("prefix").agg(F.count(F.lit(1)).alias("turns"))
+
+
+def save(vocab: DataFrame, path: str) -> None:
+    """One file with a token a line, in order of the ids; the committer makes it all or nothing."""
+    vocab.orderBy("id").coalesce(1).select("token").write.mode("overwrite").text(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """(id, token) of what `save` wrote: ids are the lines' numbers."""
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("t"))
+    return lines.select(F.posexplode("t").alias("id", "token")).select(F.col("id").cast("long").alias("id"), "token")
+
+
+def rebuild(turns: DataFrame, path: str, cap: int = CONTENT_CAP) -> int:
+    """Builds the vocabulary of turns anew, saves it and returns its size."""
+    save(vocabulary(turns, cap), path)
+    return load(turns.sparkSession, path).count()

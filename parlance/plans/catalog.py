@@ -382,6 +382,82 @@ def val_split(spark, sf_dir):
     return vocabulary.validation_split(rows, 0.1, ["section_idx", "turn_idx"], rows.count())
 
 
+EXAMPLE_KEYS = f"{TURNS}, {WRAPPED}, k AS (SELECT section_idx, turn_idx, row_number() OVER (ORDER BY section_idx, turn_idx) AS nth, count(*) OVER () AS n FROM e WHERE len(next) > 0)"
+
+
+@query("val_split_capped", f"WITH {EXAMPLE_KEYS}, v AS (SELECT *, n - least(greatest(CAST(round(n * 0.2) AS BIGINT), 1), n - 1) AS train FROM k) SELECT section_idx, turn_idx, nth > train AS is_val FROM v WHERE nth <= 70 OR nth > train AND nth - train <= 30")
+def val_split_capped(spark, sf_dir):
+    rows = vocabulary.examples(turns_of(spark, sf_dir)).select("section_idx", "turn_idx")
+    return vocabulary.validation_split(rows, 0.2, ["section_idx", "turn_idx"], rows.count(), 70, 30)
+
+
+@query("pretrain_split", f"WITH {EXAMPLE_KEYS} SELECT section_idx, turn_idx, nth > n - least(greatest(n // 10, 1), n - 1) AS is_val FROM k")
+def pretrain_split(spark, sf_dir):
+    rows = vocabulary.examples(turns_of(spark, sf_dir)).select("section_idx", "turn_idx")
+    return vocabulary.pretrain_split(rows, ["section_idx", "turn_idx"], rows.count())
+
+
+@query("prefix_histogram", f"WITH {NOISY} SELECT lower(array_to_string(({w()})[1:3], ' ')) AS prefix, count(*) AS turns FROM noisy WHERE {PREFIX} GROUP BY 1")
+def prefix_histogram(spark, sf_dir):
+    return vocabulary.prefix_histogram(noisy(spark, sf_dir))
+
+
+def _count(source: str) -> str:
+    return f"(SELECT count(*) FROM {source})"
+
+
+def _sections(source: str) -> str:
+    return f"(SELECT count(DISTINCT section_idx) FROM {source})"
+
+
+def _changed(before: str, after: str) -> str:
+    return f"(SELECT count(*) FROM {before} x JOIN {after} y USING (section_idx, turn_idx) WHERE x.text <> y.text)"
+
+
+def _hits(source: str, pattern: str) -> dict[str, str]:
+    return {"n": f"(SELECT coalesce(sum({hits(pattern)}), 0) FROM {source})", "touched": f"(SELECT count(*) FROM {source} WHERE {hits(pattern)} > 0)"}
+
+
+#: Counters by name; how many decorations a text had has no plain SQL and is tested on known texts.
+COUNTERS = {
+    "sections_before": _sections("noisy"),
+    "turns_before": _count("noisy"),
+    "sections_after": _sections("short_last"),
+    "turns_after": _count("short_last"),
+    "sec_monologue": "(SELECT count(*) FROM (SELECT section_idx FROM noisy GROUP BY section_idx HAVING max(person_id) = 0 AND min(person_id) = 0))",
+    "sec_single_speaker": "(SELECT count(*) FROM (SELECT section_idx FROM noisy GROUP BY section_idx HAVING max(person_id) = min(person_id) AND max(person_id) <> 0))",
+    "sec_too_short": f"{_sections('one_sided')} - {_sections('short_last')}",
+    "turn_url_dominant": f"(SELECT count(*) FROM one_sided WHERE {URL_ONLY})",
+    "turn_no_alphanum": f"(SELECT count(*) FROM one_sided WHERE NOT {URL_ONLY} AND {WORDLESS})",
+    "turn_role_ping": f"(SELECT count(*) FROM one_sided WHERE NOT {URL_ONLY} AND NOT {WORDLESS} AND {PING_ONLY})",
+    "turn_dedup_cap": f"{_count('turns_')} - {_count('repeats')}",
+    "turn_prefix_cap": f"{_count('short_again')} - {_count('prefixes')}",
+    "url_tokens": _hits("short", URL)["n"],
+    "url_turns": _hits("short", URL)["touched"],
+    "mention_tokens": _hits("urls", MENTION)["n"],
+    "mention_turns": _hits("urls", MENTION)["touched"],
+    "emoji_tokens": _hits("mentions", EMOJI)["n"],
+    "emoji_turns": _hits("mentions", EMOJI)["touched"],
+    "markdown_turns": _changed("emoji", "markdown"),
+    "escape_chars": "(SELECT coalesce(sum(length(text) - length(replace(text, chr(92), ''))), 0) FROM markdown)",
+    "escape_turns": "(SELECT count(*) FROM markdown WHERE contains(text, chr(92)))",
+}
+
+
+@query("clean_counters", f"WITH {CLEANED} " + " UNION ALL ".join(f"SELECT '{k}' AS counter, CAST({v} AS BIGINT) AS n" for k, v in COUNTERS.items()))
+def clean_counters(spark, sf_dir):
+    return cleaning.counters(_turn_cols(noisy(spark, sf_dir))).where("counter <> 'markdown_tokens'")
+
+
+@query("window_boundaries", f"WITH {MSGS}, r AS (SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY id) - 1 AS i FROM m), x AS (SELECT *, unnest(range(0, i // 15 + 1)) AS win FROM r) SELECT DISTINCT channel, id FROM x WHERE i - 15 * win < 20 AND i - 15 * win IN (3, (win % 17) + 1)")
+def window_boundaries(spark, sf_dir):
+    """A stand-in for the outside model names position 0, 3, one that moves with the window and one beyond it."""
+    rows = messages(spark, sf_dir)
+    windows = sessions.sliding_windows(rows).select("channel", "window").distinct()
+    answer = F.concat(F.lit("Sections start at [0, 3, 99, "), ((F.col("window") % 17) + 1).cast("string"), F.lit("]."))
+    return sessions.window_boundaries(rows, windows.withColumn("answer", answer))
+
+
 # ---- vectors ------------------------------------------------------------------------------------
 
 @query("label_centroids", "SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) + 0.0 AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY label, dim")
@@ -399,20 +475,26 @@ def cosine_topk(spark, sf_dir):
 MEMORY = ["the", "of", "and", "with", "is", "to", "that", "thing"]
 
 
-@query("positional_similarity", f"""WITH {TURNS}, x AS (SELECT section_idx, turn_idx, {tokens()} AS tokens FROM turns), t AS (SELECT section_idx, flatten(list(tokens ORDER BY turn_idx))[1:{len(MEMORY)}] AS said FROM x GROUP BY section_idx),
+POSITIONAL = f"""WITH x AS (SELECT section_idx, turn_idx, {tokens()} AS tokens FROM turns), t AS (SELECT section_idx, flatten(list(tokens ORDER BY turn_idx))[1:{len(MEMORY)}] AS said FROM x GROUP BY section_idx),
  z AS (SELECT section_idx, a, ({MEMORY!r})[i] AS b FROM (SELECT section_idx, unnest(said) AS a, generate_subscripts(said, 1) AS i FROM t))
- SELECT section_idx, CAST(coalesce(sum(CASE WHEN a = b THEN 100 ELSE least(255, greatest(strlen(a) - strlen(b), 0) % 256 + len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i]))) END), 0) AS BIGINT) AS score FROM (SELECT DISTINCT section_idx FROM turns) LEFT JOIN z USING (section_idx) GROUP BY section_idx""")
+ SELECT section_idx, CAST(coalesce(sum(CASE WHEN a = b THEN 100 ELSE least(255, greatest(strlen(a) - strlen(b), 0) % 256 + len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i]))) END), 0) AS BIGINT) AS score FROM (SELECT DISTINCT section_idx FROM turns) LEFT JOIN z USING (section_idx) GROUP BY section_idx"""
+
+
+@query("positional_similarity", f"WITH {TURNS}, sc AS ({POSITIONAL}) SELECT * FROM sc")
 def positional_similarity(spark, sf_dir):
     return retrieval.section_similarity(turns_of(spark, sf_dir), MEMORY)
 
 
+def _vectors(spark, sf_dir, vocab):
+    """(id, vec): the embedding of token id i is row i % 500 of embeddings, as the networks here have no table of this size."""
+    e = table(spark, sf_dir, "embeddings")
+    return vocab.select("id", (F.col("id") % 500).alias("vec_id")).join(e, "vec_id").select("id", F.col("embedding").alias("vec"))
+
+
 def _turn_vectors(spark, sf_dir):
-    """Turns' centroids; the embedding of token id i is row i % 500 of embeddings."""
     turns = turns_of(spark, sf_dir)
     vocab = vocabulary.vocabulary(turns)
-    e = table(spark, sf_dir, "embeddings")
-    vecs = vocab.select("id", (F.col("id") % 500).alias("vec_id")).join(e, "vec_id").select("id", F.col("embedding").alias("vec"))
-    return turns, retrieval.centroids(vocabulary.encode(turns, vocab), vecs, ["section_idx", "turn_idx"], 64)
+    return turns, retrieval.centroids(vocabulary.encode(turns, vocab), _vectors(spark, sf_dir, vocab), ["section_idx", "turn_idx"], 64)
 
 
 _CENTROIDS = f"v AS (SELECT token, max(id) AS id FROM vocab GROUP BY token), w AS (SELECT section_idx, turn_idx, unnest({tokens()}) AS token FROM turns), c AS (SELECT section_idx, turn_idx, dim, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT section_idx, turn_idx, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM w JOIN v USING (token) JOIN embeddings ON vec_id = v.id % 500 WHERE v.id > 1) GROUP BY ALL)"
@@ -424,7 +506,21 @@ def turn_centroids(spark, sf_dir):
     return vectors.select("section_idx", "turn_idx", F.posexplode("embedding").alias("dim", "x")).select("section_idx", "turn_idx", "dim", (F.round("x", 6) + 0.0).alias("x"))
 
 
-@query("teacher_next_turn")
+@query("index_rows", f"WITH {TURNS}, {VOCAB}, {_CENTROIDS} SELECT t.section_idx, t.turn_idx, '<PERSON_' || person_id || '> ' || array_to_string({tokens()}, ' ') || ' </PERSON_' || person_id || '>' AS entry, round(coalesce((SELECT sum(x * x) FROM c WHERE c.section_idx = t.section_idx AND c.turn_idx = t.turn_idx), 0), 5) + 0.0 AS norm FROM turns t WHERE len({tokens()}) > 0")
+def index_rows(spark, sf_dir):
+    turns = turns_of(spark, sf_dir)
+    vocab = vocabulary.vocabulary(turns)
+    index = retrieval.build_index(turns, vocab, _vectors(spark, sf_dir, vocab), 64)
+    norm = F.round(V.dot(F.col("embedding"), F.col("embedding")), 5) + 0.0
+    return index.select("section_idx", "turn_idx", retrieval.rendered(F.col("person_id"), F.col("tokens")).alias("entry"), norm.alias("norm"))
+
+
+@query("teacher_next_turn", f"""WITH {TURNS}, {VOCAB}, {_CENTROIDS}, sc AS ({POSITIONAL}), b AS (SELECT section_idx FROM sc ORDER BY score DESC, section_idx LIMIT 1),
+ o AS (SELECT section_idx, turn_idx, {tokens()} AS tokens, lead(text) OVER (ORDER BY turn_idx) AS next_text FROM turns WHERE section_idx IN (SELECT section_idx FROM b)),
+ q AS (SELECT unnest(embedding) AS y, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE vec_id = 3),
+ d AS (SELECT section_idx, turn_idx, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS score FROM c JOIN q USING (dim) GROUP BY section_idx, turn_idx),
+ best AS (SELECT section_idx, turn_idx, coalesce(score, 0) AS score, next_text FROM o LEFT JOIN d USING (section_idx, turn_idx) WHERE len(tokens) > 0 ORDER BY 3 DESC, turn_idx LIMIT 1)
+ SELECT section_idx, turn_idx, round(score, 6) AS score, next_text FROM best WHERE next_text IS NOT NULL""")
 def teacher_next_turn(spark, sf_dir):
     turns, vectors = _turn_vectors(spark, sf_dir)
     first = table(spark, sf_dir, "embeddings").where("vec_id = 3").select("embedding").first()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 
+#: Part of the key of cached turns; another layout of theirs needs another number.
+CACHE_VERSION = 1
 SCHEMA = "section_idx bigint, turn_idx bigint, person_id bigint, text string"
 
 
@@ -51,14 +53,24 @@ def parse(raw: DataFrame, check: bool = True) -> DataFrame:
     return turns.withColumn("turn_idx", nth.cast("bigint")).join(sections, ["file", "sec_no"]).select(F.col("section_idx").cast("bigint"), "turn_idx", "person_id", "text")
 
 
-def read(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """Turns of the files at path; none if there is no such file."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def read(spark: SparkSession, path: str, check: bool = True, cache: str | None = None) -> DataFrame:
+    """Turns of the files at path; none if there is no such file.
+
+    With a cache folder, parsed turns are kept there under a key of what the files hold, and read
+    from there while that is unchanged.
+    """
+    if not exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return parse(raw, check)
+    if cache is None:
+        return parse(raw, check)
+    row = raw.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("file", "value").cast("decimal(38,0)")).alias("s")).first()
+    return cached(spark, cache, f"{CACHE_VERSION}-{row['n']}-{row['s']}", lambda: parse(raw, check))
 
 
 def lines(turns: DataFrame) -> DataFrame:

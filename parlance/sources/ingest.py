@@ -82,6 +82,12 @@ def _tree_schema(depth: int) -> str:
     return f"tree_state string, prompt struct<lang: string, {_LEVEL.replace(' string', ': string').replace(' int', ': int')}, replies: array<{inner}>>"
 
 
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """(section_idx, value) of JSON lines, plain or .gz by suffix; the index rises by file and line."""
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    return rows.select(F.monotonically_increasing_id().alias("section_idx"), "value")
+
+
 def _best(replies):
     """The reply of least rank; the first of equals."""
     keyed = F.transform(replies, lambda r, i: F.struct(F.coalesce(r["rank"], F.lit(999)).alias("rank"), i.alias("i"), r.alias("r")))

@@ -13,13 +13,40 @@ HISTORY = 20
 GAP_SECONDS = 1800
 
 
-def requests(stream: DataFrame) -> DataFrame:
-    """(channel, seq, input) of JSON bodies (seq, body): the input trimmed and not empty, the channel `default` if none is named."""
+def requests(stream: DataFrame, api_key: str | None = None) -> DataFrame:
+    """(channel, seq, input) of JSON bodies (seq, body): the input trimmed and not empty, the channel `default` if none is named.
+
+    With api_key, rows have a column api_key too, and those with another one or none are dropped.
+    """
+    if api_key is not None:
+        stream = stream.where(F.coalesce(F.col("api_key"), F.lit("")) == api_key)
     body = F.get_json_object("body", "$.input")
     rows = stream.select(F.coalesce(F.get_json_object("body", "$.channel_id"), F.lit("default")).alias("channel"), "seq", F.trim(body).alias("input"))
     return rows.where("input is not null and input <> ''")
 
 
+def statuses(stream: DataFrame, api_key: str) -> DataFrame:
+    """(seq, status) of requests (seq, api_key, body): 401 for another key, 400 without an input, else 200."""
+    text = F.trim(F.get_json_object("body", "$.input"))
+    status = F.when(F.coalesce(F.col("api_key"), F.lit("")) != api_key, 401).when(F.coalesce(text, F.lit("")) == "", 400).otherwise(200)
+    return stream.select("seq", status.alias("status"))
+
+
+def chat(reply: Callable[[list[str], str], str], recall: Callable[[str], list[str]] = lambda text: []) -> Callable[[str, list[str]], str]:
+    """An answer function for `history`: what recall finds for the input comes before the channel's own entries.
+
+    reply gets the memory and the input. Where it fails the answer is None, and the channel stays as it was.
+    """
+
+    def answer(text: str, entries: list[str]) -> str | None:
+        try:
+            return reply([*recall(text), *entries], text)
+        except Exception:  # a failed answer is a result of its own, which requests go on after
+            return None
+
+    return answer
+
+
 def history(stream: DataFrame, answer: Callable[[str, list[str]], str], most: int = HISTORY) -> DataFrame:
     """(channel, seq, reply, entries): the reply to each input, and the channel's last `most` entries after it.
 
