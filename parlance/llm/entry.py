@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontamination, jaccard, licenses, lines, packing, secrets, sharding, tokencounts, topk, toxicity
+from parlance.llm import decontamination, infill, jaccard, language, licenses, lines, packing, periodic, secrets, sharding, tokencounts, topk, toxicity
 from parlance.llm.common import with_ids
 from parlance.llm.oracles import ORACLES  # noqa: F401
 from parlance.session import table
@@ -63,6 +63,20 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs, language.fit(docs))
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.to_json("spans").alias("spans"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(table(spark, sf_dir, "documents"), change=periodic.planted))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
@@ -74,4 +88,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_jaccard": op10_jaccard,
+    "op11_language": op11_language,
+    "op12_infill": op12_infill,
+    "op13_periodic": op13_periodic,
 }

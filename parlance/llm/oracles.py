@@ -57,4 +57,28 @@ def _licenses() -> str:
  QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY 2.0 * shared / (unit_bigrams + template_bigrams) DESC, nth) = 1"""
 
 
-ORACLES = {"op1_licenses": _licenses(), "op3_topk": TOPK, "op9_secrets": _secrets(), "op10_jaccard": JACCARD}
+INFILL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]', 0, 's') AS u, sha256('1:' || doc_id) AS x FROM documents),
+ h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR doc_id IS NULL OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+#: Runs by all pairs of places that hold the same six words: in any run of 12 words such places lie a period apart.
+PERIODIC = r"""WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+ t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8))) AS h FROM documents, tab),
+ a AS (SELECT *, len(t) AS n, CASE WHEN h % 10 = 0 AND len(t) > 0 THEN (h // 10) % len(t) END AS a FROM t),
+ w AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN t ELSE list_transform(range(0, n), lambda i: CASE WHEN i >= a THEN t[1 + a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8))] ELSE t[1 + i] END) END AS w FROM a),
+ g AS (SELECT doc_id, unnest(range(0, n - 5)) AS i, unnest(list_transform(range(1, n - 4), lambda i: array_to_string(w[i:i + 5], ' '))) AS g FROM w WHERE n >= 12),
+ e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+ s AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+ r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND o.start <= s.start AND o.start + o.length >= s.start + s.length)),
+ k AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+ c AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text FROM (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM w) w ANTI JOIN k ON k.doc_id = w.doc_id AND k.i = w.i GROUP BY w.doc_id),
+ b AS (SELECT doc_id, count(*) AS n_runs, arg_min({'start': start, 'length': length, 'period': q}, {'l': -length, 's': start, 'q': q}) AS m, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS l FROM r GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, m.start AS start, m.length AS length, m.period AS period, 1000 * m.length // m.period AS exponent_milli,
+  sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256 FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+ORACLES = {"op1_licenses": _licenses(), "op3_topk": TOPK, "op9_secrets": _secrets(), "op10_jaccard": JACCARD, "op12_infill": INFILL, "op13_periodic": PERIODIC}
