@@ -245,7 +245,24 @@ def index_array(text: Column) -> Column:
 
 
 def json_field(body: Column, key: str) -> Column:
-    return F.get_json_object(body, f"$.{key}")
+    """The string after the first "key" of a body that need not be whole JSON; null if none follows, or one with a broken escape.
+
+    Escapes are those of JSON without halves of surrogate pairs.
+    """
+    rest = F.substr(body, F.nullif(F.instr(body, f'"{key}"'), F.lit(0)))
+    head = F.regexp_extract(rest, r'^"[^"]*"\s*:\s*"', 0)
+    # cut piece by piece, so that strings of any length need no deep match
+    pieces = F.regexp_extract_all(F.substr(rest, F.nullif(F.length(head), F.lit(0)) + 1), F.lit(r'(?s)\\u(?:[0-9a-fA-F]{4}|\+[0-9a-fA-F]{3})|\\.|\\|"|[^"\\]+'), F.lit(0))
+    end = F.array_position(pieces, '"')
+
+    def read(p: Column) -> Column:
+        point = F.translate(F.substring(p, 3, 4), "+", "0")
+        coded = F.when(~point.rlike("^[dD][89abAB]") & ~point.rlike("^[dD][c-fC-F]"), F.decode(F.unhex(point), "UTF-16BE"))
+        plain = F.when(p.isin('\\"', "\\\\", "\\/"), F.substring(p, 2, 1)).when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\t", "\t")
+        return F.when(~p.startswith("\\"), p).when(p.startswith("\\u") & (F.length(p) == 6), coded).otherwise(plain)
+
+    said = F.transform(F.slice(pieces, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int")), read)
+    return F.when((end > 0) & ~F.exists(said, lambda p: p.isNull()), F.array_join(said, ""))
 
 
 def string_similarity(a: Column, b: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.operators.ordering import numbered
+from parlance.session import checkpointed
 
 ORDER = ["section_idx", "turn_idx"]
 DEDUP_CAP, PREFIX_CAP, PREFIX_WORDS = 3, 10, 3
@@ -68,10 +69,20 @@ def drop_turns(turns: DataFrame) -> DataFrame:
     return turns.where(turn_reason(F.col("text")).isNull())
 
 
+#: Rows, counted, that may be broadcast; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def cap_repeats(turns: DataFrame, most: int = DEDUP_CAP, key: Callable[[Column], Column] = T.dedup_key) -> DataFrame:
-    """The first `most` turns of each text key, in corpus order."""
+    """The first `most` turns of each text key, in corpus order; a turn is known by its place.
+
+    Places move under 128 bits of their keys, and what goes is joined back, so texts stay where they are unless very many go.
+    """
+    short = turns.select(*ORDER, F.md5(F.coalesce(key(F.col("text")), F.lit(""))).alias("__key"))
     nth = F.row_number().over(Window.partitionBy("__key").orderBy(*ORDER))
-    return turns.withColumn("__key", key(F.col("text"))).withColumn("__nth", nth).where(F.col("__nth") <= most).drop("__key", "__nth")
+    repeated = short.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select("__key")
+    gone = checkpointed(short.join(repeated, "__key", "left_semi").withColumn("__nth", nth).where(F.col("__nth") > most).select(*ORDER))
+    return turns.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ORDER, "left_anti")
 
 
 def cap_prefixes(turns: DataFrame, most: int = PREFIX_CAP, n_words: int = PREFIX_WORDS) -> DataFrame:
@@ -154,17 +165,18 @@ def counters(turns: DataFrame) -> DataFrame:
     reason = spoken.withColumn("__r", turn_reason(F.col("text")))
     names = {4: "turn_url_dominant", 5: "turn_no_alphanum", 6: "turn_role_ping"}
     out = out.join(reason.agg(F.countDistinct("section_idx").alias("sections_spoken"), F.count_if(F.col("__r").isNull()).alias("turns_kept"), *[F.count_if(F.col("__r") == r).alias(c) for r, c in names.items()]))
-    capped = cap_repeats(drop_turns(spoken))
+    capped = checkpointed(cap_repeats(drop_turns(spoken)))
     out = out.join(capped.agg(F.count(F.lit(1)).alias("turns_capped")))
     rewrites = {"url_tokens": rewrite_urls, "mention_tokens": rewrite_mentions, "emoji_tokens": rewrite_emoji, "markdown_tokens": strip_markdown, "escape_chars": strip_escapes}
     rewritten = drop_short_sections(capped)
     for c, rule in rewrites.items():
         rewritten = rule(rewritten, c)
+    rewritten = checkpointed(rewritten)  # from here on each step goes on from what the one before gave
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rewrites] + [F.count_if(F.col(c) > 0).alias(f"{c.split('_')[0]}_turns") for c in rewrites]
     out = out.join(rewritten.agg(*sums))
-    full = drop_short_sections(drop_empty_turns(rewritten.drop(*rewrites)))
+    full = checkpointed(drop_short_sections(drop_empty_turns(rewritten.drop(*rewrites))))
     out = out.join(full.agg(F.count(F.lit(1)).alias("turns_full")))
-    short = cap_prefixes(full)
+    short = checkpointed(cap_prefixes(full))
     out = out.join(short.agg(F.count(F.lit(1)).alias("turns_short")))
     left = drop_short_sections(short)
     out = out.join(left.agg(F.countDistinct("section_idx").alias("sections_after"), F.count(F.lit(1)).alias("turns_after")))
@@ -198,7 +210,7 @@ def metrics(turns: DataFrame) -> DataFrame:
             counted(name, rule(turns, "__c"), True)
         else:
             counted(name, rule(turns))
-        turns = rule(turns)
+        turns = checkpointed(rule(turns)) if name in ("repeats", "short", "empty", "prefixes") else rule(turns)
     result = out[0]
     for df in out[1:]:
         result = result.unionByName(df)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.operators.ordering import numbered
-from parlance.sources.corpus import exists
+from parlance.sources import files
 from parlance.sources.ingest import person_rows
+from parlance.sources.splits import lines, numbered_lines
 
 SCHEMA = "person_id long, user_id long, display_name string"
 
@@ -45,15 +46,16 @@ def tags(persons: DataFrame) -> DataFrame:
 
 
 def save(persons: DataFrame, path: str) -> None:
-    """One file of tab-separated lines in order of person_id; line breaks in names become spaces."""
+    """Tab-separated lines whose files, in name order, hold them in order of person_id; line breaks in names become spaces."""
     name = F.regexp_replace(F.coalesce("display_name", F.lit("")), r"[\r\n]", " ")
     line = F.concat_ws("\t", F.col("person_id").cast("string"), F.col("user_id").cast("string"), name)
-    persons.orderBy("person_id").coalesce(1).select(line.alias("value")).write.mode("overwrite").text(path)
+    rows = persons.repartitionByRange("person_id").sortWithinPartitions("person_id").select(line.alias("value"))
+    files.publish(persons.sparkSession, path, lambda at: rows.write.text(at))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Persons of a file; none if there is no such file, an error where ids don't count the rows."""
-    if not exists(spark, path):
+    files.restore(spark, path)
+    if not files.found(spark, path):
         return spark.createDataFrame([], SCHEMA)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\r?\n")).alias("nth", "value"))
-    return person_rows(lines.where("value <> ''"))
+    return person_rows(numbered_lines(lines(spark, path), "nth").where("value <> ''"))

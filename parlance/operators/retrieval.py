@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.functions.vectors import cosine, dot
 from parlance.operators.vocabulary import encode
+from parlance.sources import files
 
 
 def centroids(ids: DataFrame, embeddings: DataFrame, keys: list[str], dim: int) -> DataFrame:
@@ -29,6 +33,29 @@ def build_index(turns: DataFrame, vocab: DataFrame, embeddings: DataFrame, dim:
     return spoken.select(*keys, "person_id", "tokens").join(centroids(spoken, embeddings, keys, dim), keys)
 
 
+#: How an index lies on disk: a folder for each batch that was put in; the corpus is batch -1.
+INDEX = "section_idx bigint, turn_idx bigint, person_id bigint, tokens array<string>, embedding array<double>, batch bigint"
+CORPUS_BATCH = -1
+#: Order of the rows of an index, by which ties go.
+INDEX_ORDER = ["batch", "section_idx", "turn_idx"]
+
+
+def put(rows: DataFrame, path: str, batch: int = CORPUS_BATCH) -> None:
+    """Puts rows of `build_index` into the index at path as one batch; a batch that comes again takes its own place."""
+    cols = [F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ", 1) for x in INDEX.split(", ")[:-1])]
+    rows.select(*cols).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def insert_live(turns: DataFrame, vocab: DataFrame, embeddings: DataFrame, dim: int, path: str, batch: int) -> None:
+    """Indexes live turns (section_idx, turn_idx, person_id, text) of one micro-batch; those without tokens are passed over."""
+    put(build_index(turns, vocab, embeddings, dim), path, batch)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the index at path, the corpus' and live ones; none if there is no index."""
+    return spark.read.schema(INDEX).parquet(path) if files.found(spark, f"{path}/batch=*") else spark.createDataFrame([], INDEX)
+
+
 def rendered(person: Column, tokens: Column) -> Column:
     """A row of the index as an entry of a history."""
     return F.array_join(T.wrap(person, tokens), " ")
@@ -39,35 +66,102 @@ def group_means(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     return vectors.select(key, F.posexplode(vec).alias("dim", "x")).groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def top_k(index: DataFrame, query: Column, k: int, order: str) -> DataFrame:
+def top_k(index: DataFrame, query: Column, k: int, order: str | list[str]) -> DataFrame:
     """The k rows of index (order, embedding, ...) nearest to one query by cosine; ties by order, non-finite scores go."""
     if k <= 0:
         return index.withColumn("score", F.lit(0.0)).limit(0)
     scored = index.withColumn("score", cosine(query, F.col("embedding"))).where(~F.isnan("score"))
-    return scored.orderBy(F.desc("score"), order).limit(k)
+    return scored.orderBy(F.desc("score"), *([order] if isinstance(order, str) else order)).limit(k)
 
 
-#: Queries that every task may get at once; more are searched in blocks of this size.
-QUERY_BLOCK = 1000
+#: Bytes of query vectors that every task may hold; more queries take more passes over the index.
+QUERY_BYTES = 32 << 20
+#: Scores that a task holds at once.
+SCORES = 1 << 22
 
 
-def top_k_each(index: DataFrame, queries: DataFrame, k: int, order: str) -> DataFrame:
-    """As top_k for each row of queries (query_id, query); they go to all tasks in counted blocks, and norms are taken once a row.
+def _lengths(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length; without null ones, null components as NaN."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    out = []
+    for n in np.unique(sizes[~np.isnan(sizes)]):
+        at = np.flatnonzero(sizes == n)
+        flat = vectors.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        out.append((at, flat.reshape(len(at), int(n))))
+    return out
+
+
+def _cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """(row, query); the shorter length counts, and a norm of 0 gives 0."""
+    n = min(rows.shape[1], queries.shape[1])
+    rows, queries = rows[:, :n], queries[:, :n]
+    norms = np.sqrt((rows * rows).sum(1))[:, None] * np.sqrt((queries * queries).sum(1))[None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(norms == 0, 0.0, rows @ queries.T / norms)
+
 
-    Vectors are as long as one another here. Each block cuts its rows to k a query before they move.
+def _best(found: list[pa.Table], k: int, order: list[str]) -> pa.Table:
+    """The k best of each query among the rows of found (query, score, order)."""
+    table = pa.concat_tables(found)
+    table = table.take(pc.sort_indices(table, [("query", "ascending"), ("score", "descending"), *((f"o{i}", "ascending") for i in range(len(order)))]))
+    query = table.column("query").to_numpy()
+    heads = np.flatnonzero(np.append(True, np.diff(query) != 0)) if len(query) else np.empty(0, np.int64)
+    nth = np.arange(len(query)) - np.repeat(heads, np.diff(np.append(heads, len(query))))
+    return table.filter(pa.array(nth < k))
+
+
+def top_k_each(index: DataFrame, queries: DataFrame, k: int, order: str | list[str]) -> DataFrame:
+    """(query_id, order, score, rank): as top_k for each row of queries (query_id, query).
+
+    Blocks of queries, bounded by QUERY_BYTES, go to all tasks; there each Arrow batch of the index is
+    multiplied with them at once, and a task gives k rows a query. The query's best are ranked from these.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    index = index.withColumn("__norm", norm("embedding"))
-    queries = queries.withColumn("__query_norm", norm("query")).withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    norms = F.col("__query_norm") * F.col("__norm")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), order))
-    out = None
+    order = [order] if isinstance(order, str) else order
+    known = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).where("query is not null")
+    row = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query")).alias("size")).first()
+    blocks = max(1, -(-(row["n"] * 8 * (row["size"] or 1)) // QUERY_BYTES))
+    kinds = dict(index.dtypes)
+    keys = ", ".join(f"o{i} {kinds[c]}" for i, c in enumerate(order))
+    rows = index.select(F.col("embedding").cast("array<double>").alias("v"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    names = ["query", "score", *(f"o{i}" for i in range(len(order)))]
+    out = []
     for block in range(blocks):
-        scored = index.join(F.broadcast(queries.where(F.col("__block") == block))).withColumn("score", F.when(norms > 0, dot(F.col("query"), F.col("embedding")) / norms).otherwise(0.0))
-        kept = scored.where(~F.isnan("score")).drop("__norm", "__query_norm", "__block").withColumn("rank", rank).where(F.col("rank") <= k)
-        out = kept if out is None else out.unionByName(kept)
-    return out
+        held = known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # some QUERY_BYTES
+        parts = [(at, m) for at, m in _lengths(held.column("query").combine_chunks()) if m.shape[1]]
+        ids = held.select(["query_id"])
+
+        def run(batches, parts=parts):
+            kept = None
+            step = max(1, SCORES // max(1, sum(len(at) for at, _ in parts)))
+            for batch in batches:
+                found = [] if kept is None else [kept]
+                for at in range(0, batch.num_rows, step):
+                    piece = batch.slice(at, step)
+                    for places, vectors in _lengths(piece.column(0)):
+                        for query, wanted in parts:
+                            scores = _cosines(vectors, wanted)
+                            scores = np.where(np.isfinite(scores), scores, -np.inf)
+                            least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(len(query), -np.inf)
+                            i, j = np.nonzero((scores >= least) & (scores > -np.inf))
+                            chosen = [piece.column(c).take(pa.array(places[i])) for c in range(1, piece.num_columns)]
+                            found.append(pa.table([pa.array(query[j]), pa.array(scores[i, j]), *chosen], names))
+                if found:
+                    kept = _best(found, k, order)
+            if kept is not None:
+                yield from kept.combine_chunks().to_batches()
+
+        if k > 0 and parts:
+            near = rows.mapInArrow(run, f"query long, score double, {keys}")
+            rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), *names[2:]))
+            near = near.withColumn("rank", rank).where(F.col("rank") <= k)
+            numbers = known.sparkSession.createDataFrame(ids.append_column("query", pa.array(np.arange(held.num_rows))))
+            out.append(near.join(F.broadcast(numbers), "query"))  # as many rows as the block has queries
+    if not out:
+        return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, {', '.join(f'{c} {kinds[c]}' for c in order)}, score double, rank int")
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("query_id", *[F.col(f"o{i}").alias(c) for i, c in enumerate(order)], "score", "rank")
 
 
 def section_similarity(turns: DataFrame, memory: list[str]) -> DataFrame:

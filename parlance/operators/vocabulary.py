@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.functions.vectors import window_ids
 from parlance.operators.ordering import numbered
+from parlance.session import checkpointed
+from parlance.sources import files
+from parlance.sources.splits import lines, numbered_lines
 
 CONTENT_CAP = 3000
 TARGET_TOKENS = 20
@@ -25,35 +31,60 @@ def token_counts(turns: DataFrame) -> DataFrame:
 def vocabulary(turns: DataFrame, cap: int = CONTENT_CAP) -> DataFrame:
     """(id, token): padding, unknown, section, both tags of persons 0 to the largest, then content by count and token.
 
-    cap 0 keeps all content. The ranked part is small (cap rows) unless cap is 0, when one task ranks the distinct tokens.
+    cap 0 keeps all content, which is then numbered by ranges of counts and tokens, as many tokens share a count.
     """
     spark = turns.sparkSession
     fixed = spark.createDataFrame([(0, T.PAD), (1, T.UNK), (2, T.SEC)], "id long, token string")
     people = turns.agg(F.coalesce(F.max("person_id"), F.lit(0)).cast("long").alias("most")).select(F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("p"))
     tags = people.select(F.posexplode(F.array(T.open_tag(F.col("p")), T.close_tag(F.col("p")))).alias("side", "token"), "p").select((3 + 2 * F.col("p") + F.col("side")).alias("id"), "token")
-    order = [F.desc("n"), F.asc("token")]
     counts = token_counts(turns)
-    top = counts.orderBy(*order).limit(cap) if cap else counts
+    if cap:
+        order = [F.desc("n"), F.asc("token")]
+        ranked = counts.orderBy(*order).limit(cap).withColumn("nth", F.row_number().over(Window.orderBy(*order)) - 1)  # cap rows
+    else:
+        ranked = numbered(checkpointed(counts), [-F.col("n"), "token"])
     base = turns.agg((3 + 2 * (F.coalesce(F.max("person_id"), F.lit(0)).cast("long") + 1)).alias("base"))
-    content = top.withColumn("nth", F.row_number().over(Window.orderBy(*order)) - 1).join(F.broadcast(base)).select((F.col("base") + F.col("nth")).alias("id"), "token")
+    content = ranked.join(F.broadcast(base)).select((F.col("base") + F.col("nth")).alias("id"), "token")
     return fixed.unionByName(tags).unionByName(content)
 
 
+#: Tokens, counted, of a vocabulary that every task may hold; beyond it they are looked up by a join.
+BROADCAST_TOKENS = 200_000
+
+
 def encode(turns: DataFrame, vocab: DataFrame, unknown: int | None = 1, tagged: bool = False) -> DataFrame:
     """Turns with ids array<bigint>; a token that the vocabulary lacks is `unknown`. tagged adds the speaker's tags.
 
-    The vocabulary is capped, so it is sent to all tasks.
+    A vocabulary of up to BROADCAST_TOKENS tokens is sent to all tasks, and each turn's tokens are
+    looked up within its row. A larger one is joined token by token. Either way a turn
+    is known by its place and stays one row.
     """
     tokens = T.tokenize(F.col("text"))
     tokens = T.wrap(F.col("person_id"), tokens) if tagged else tokens
-    each = turns.select("section_idx", "turn_idx", F.posexplode(tokens).alias("pos", "token"))
-    known = each.join(F.broadcast(vocab.groupBy("token").agg(F.max("id").alias("id"))), "token", "left")
+    known = vocab.where("token is not null").groupBy("token").agg(F.max("id").cast("bigint").alias("id"))
+    held = known.limit(BROADCAST_TOKENS + 1).toArrow()
+    if held.num_rows <= BROADCAST_TOKENS:
+        return turns.withColumn("ids", _looked_up(held, unknown)(F.coalesce(tokens, F.array().cast("array<string>"))))
+    each = turns.select("section_idx", "turn_idx", F.posexplode(tokens).alias("pos", "token")).join(known, "token", "left")
     id_ = F.coalesce("id", F.lit(unknown).cast("bigint"))
-    ids = known.groupBy("section_idx", "turn_idx").agg(F.array_sort(F.collect_list(F.struct("pos", id_.alias("id")))).alias("p"))
+    ids = each.groupBy("section_idx", "turn_idx").agg(F.array_sort(F.collect_list(F.struct("pos", id_.alias("id")))).alias("p"))
     ids = ids.select("section_idx", "turn_idx", F.transform("p", lambda x: x["id"]).alias("ids"))
     return turns.join(ids, ["section_idx", "turn_idx"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
 
 
+def _looked_up(known: pa.Table, unknown: int | None):
+    """A function of arrays of tokens that gives their ids, by known (token, id); whole Arrow batches are looked up at once."""
+    words, numbers = (known.column(c).combine_chunks() for c in ("token", "id"))
+
+    @F.arrow_udf("array<bigint>")
+    def ids(lists: pa.Array) -> pa.Array:
+        found = numbers.take(pc.index_in(lists.flatten(), value_set=words))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), found if unknown is None else found.fill_null(unknown))
+
+    return ids
+
+
 def forbidden(token: Column) -> Column:
     """What the bot never says: padding, unknown, section, placeholders, opening tags and others' closing tags."""
     closing = T.tag_person(token, closing=True)
@@ -136,14 +167,15 @@ def prefix_histogram(turns: DataFrame, n_words: int = 3) -> DataFrame:
 
 
 def save(vocab: DataFrame, path: str) -> None:
-    """One file with a token a line, in order of the ids; the committer makes it all or nothing."""
-    vocab.orderBy("id").coalesce(1).select("token").write.mode("overwrite").text(path)
+    """A token a line; the files, in name order, hold them in order of the ids, and take the place of older ones once all are written."""
+    rows = vocab.repartitionByRange("id").sortWithinPartitions("id").select("token")
+    files.publish(vocab.sparkSession, path, lambda at: rows.write.text(at))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(id, token) of what `save` wrote: ids are the lines' numbers."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("t"))
-    return lines.select(F.posexplode("t").alias("id", "token")).select(F.col("id").cast("long").alias("id"), "token")
+    files.restore(spark, path)
+    return numbered_lines(lines(spark, path), "id").select(F.col("id").cast("long"), F.col("value").alias("token"))
 
 
 def rebuild(turns: DataFrame, path: str, cap: int = CONTENT_CAP) -> int:

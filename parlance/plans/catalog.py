@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.functions import vectors as V
 from parlance.operators import cleaning, persons, retrieval, sessions, vocabulary
-from parlance.session import table
-from parlance.sources import ingest
+from parlance.session import shared_folder, table
+from parlance.sources import corpus, ingest, splits
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -183,6 +185,30 @@ def vocab_full(spark, sf_dir):
     return vocabulary.vocabulary(turns_of(spark, sf_dir))
 
 
+@query("vocab_whole", f"WITH {TURNS}, {VOCAB.replace(' QUALIFY nth <= 3000', '')} SELECT CAST(id AS BIGINT) AS id, token FROM vocab")
+def vocab_whole(spark, sf_dir):
+    return vocabulary.vocabulary(turns_of(spark, sf_dir), 0)
+
+
+@query("corpus_scan", f"WITH {TURNS} SELECT CAST(dense_rank() OVER (ORDER BY section_idx) - 1 AS BIGINT) AS section_idx, row_number() OVER (PARTITION BY section_idx ORDER BY turn_idx) - 1 AS turn_idx, CAST(person_id AS BIGINT) AS person_id, text FROM turns")
+def corpus_scan(spark, sf_dir):
+    """Turns of a corpus written to files of the shared folder and read again, split by split."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    corpus.write(turns_of(spark, sf_dir), path)
+    return corpus.read(spark, path)
+
+
+@query("line_numbers", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, doc_id, md5(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> ''), ' ')) AS text_md5 FROM documents")
+def line_numbers(spark, sf_dir):
+    """Lines of files in the shared folder, numbered by path and place; the files' names rise with doc_id."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), T.one_spaced(F.coalesce("text", F.lit(""))))
+    documents(spark, sf_dir).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
+    cut = F.instr("value", " ")
+    rows = splits.numbered_lines(splits.lines(spark, path))
+    return rows.select("line", F.substring_index("value", " ", 1).cast("long").alias("doc_id"), F.md5(F.when(cut > 0, F.substr("value", cut + 1)).otherwise("")).alias("text_md5"))
+
+
 @query("tokenize_counts", f"WITH {NOISY} SELECT section_idx, turn_idx, CAST(len({tokens()}) AS BIGINT) AS n_tokens, array_to_string({tokens()}, ' ') AS tokens FROM noisy")
 def tokenize_counts(spark, sf_dir):
     t = T.tokenize(F.col("text"))
@@ -330,6 +356,15 @@ def chat_totals(spark, sf_dir):
     return out.select("sections", "turns", F.col("persons").cast("long").alias("persons"))
 
 
+@query("ranged_turns", ORACLES["merge_turns"])
+def ranged_turns(spark, sf_dir):
+    """As merge_turns, with each channel cut into ranges of ids."""
+    spread = sessions.spread(messages(spark, sf_dir), 12)
+    people = sessions.person_ids(sessions.sections(sessions.drop_bot_runs(spread, _bot())), _bot())
+    turns = sessions.keep_dialogs(sessions.merged_turns(people))
+    return turns.select("channel", F.col("section").cast("long").alias("section"), F.col("turn_idx").cast("long").alias("turn_idx"), F.col("person_id").cast("long").alias("person_id"), "text")
+
+
 @query("sliding_windows", f"WITH {MSGS}, r AS (SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY id) - 1 AS i FROM m) SELECT channel, CAST(win AS BIGINT) AS win, CAST(i - 15 * win AS BIGINT) AS position, id FROM (SELECT *, unnest(range(0, i // 15 + 1)) AS win FROM r) WHERE i - 15 * win < 20")
 def sliding_windows(spark, sf_dir):
     return sessions.sliding_windows(messages(spark, sf_dir)).select("channel", F.col("window").cast("long").alias("win"), F.col("position").cast("long").alias("position"), "id")
@@ -486,9 +521,9 @@ def positional_similarity(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir, vocab):
-    """(id, vec): the embedding of token id i is row i % 500 of embeddings, as the networks here have no table of this size."""
+    """(id, vec): the embedding of token id i is row i % n of the n embeddings, as the networks here have no table of this size."""
     e = table(spark, sf_dir, "embeddings")
-    return vocab.select("id", (F.col("id") % 500).alias("vec_id")).join(e, "vec_id").select("id", F.col("embedding").alias("vec"))
+    return vocab.select("id", (F.col("id") % e.count()).alias("vec_id")).join(e, "vec_id").select("id", F.col("embedding").alias("vec"))
 
 
 def _turn_vectors(spark, sf_dir):
@@ -497,7 +532,7 @@ def _turn_vectors(spark, sf_dir):
     return turns, retrieval.centroids(vocabulary.encode(turns, vocab), _vectors(spark, sf_dir, vocab), ["section_idx", "turn_idx"], 64)
 
 
-_CENTROIDS = f"v AS (SELECT token, max(id) AS id FROM vocab GROUP BY token), w AS (SELECT section_idx, turn_idx, unnest({tokens()}) AS token FROM turns), c AS (SELECT section_idx, turn_idx, dim, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT section_idx, turn_idx, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM w JOIN v USING (token) JOIN embeddings ON vec_id = v.id % 500 WHERE v.id > 1) GROUP BY ALL)"
+_CENTROIDS = f"v AS (SELECT token, max(id) AS id FROM vocab GROUP BY token), w AS (SELECT section_idx, turn_idx, unnest({tokens()}) AS token FROM turns), c AS (SELECT section_idx, turn_idx, dim, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT section_idx, turn_idx, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM w JOIN v USING (token) JOIN embeddings ON vec_id = v.id % (SELECT count(*) FROM embeddings) WHERE v.id > 1) GROUP BY ALL)"
 
 
 @query("turn_centroids", f"WITH {TURNS}, {VOCAB}, {_CENTROIDS} SELECT section_idx, turn_idx, CAST(dim AS INTEGER) AS dim, round(x, 6) + 0.0 AS x FROM c UNION ALL SELECT section_idx, turn_idx, CAST(unnest(range(0, 64)) AS INTEGER), 0.0 FROM turns WHERE (section_idx, turn_idx) NOT IN (SELECT (section_idx, turn_idx) FROM c)")
@@ -515,6 +550,20 @@ def index_rows(spark, sf_dir):
     return index.select("section_idx", "turn_idx", retrieval.rendered(F.col("person_id"), F.col("tokens")).alias("entry"), norm.alias("norm"))
 
 
+@query("recall_scores", f"""WITH {TURNS}, {VOCAB}, {_CENTROIDS}, q AS (SELECT section_idx AS seq, dim, x AS y FROM c WHERE turn_idx = 0 AND section_idx % 20 = 0), n AS (SELECT section_idx, turn_idx, sqrt(sum(x * x)) AS norm FROM c GROUP BY ALL),
+ d AS (SELECT seq, section_idx, turn_idx, sum(x * y) AS dot, sqrt(sum(y * y)) AS norm FROM q JOIN c USING (dim) GROUP BY ALL), s AS (SELECT seq, dot / (d.norm * n.norm) AS score FROM d JOIN n USING (section_idx, turn_idx))
+ SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY score DESC) AS INTEGER) AS rank, round(score, 5) AS score FROM s QUALIFY rank <= 5""")
+def recall_scores(spark, sf_dir):
+    """How near the five turns are that the index recalls for the first turns of every twentieth conversation."""
+    turns = turns_of(spark, sf_dir)
+    vocab = vocabulary.vocabulary(turns)
+    vectors = _vectors(spark, sf_dir, vocab)
+    index = retrieval.build_index(turns, vocab, vectors, 64)
+    asked = index.where("turn_idx = 0 and section_idx % 20 = 0").select(F.col("section_idx").alias("query_id"), F.col("embedding").alias("query"))
+    near = retrieval.top_k_each(index, asked, 5, ["section_idx", "turn_idx"])
+    return near.select(F.col("query_id").alias("seq"), "rank", F.round("score", 5).alias("score"))
+
+
 @query("teacher_next_turn", f"""WITH {TURNS}, {VOCAB}, {_CENTROIDS}, sc AS ({POSITIONAL}), b AS (SELECT section_idx FROM sc ORDER BY score DESC, section_idx LIMIT 1),
  o AS (SELECT section_idx, turn_idx, {tokens()} AS tokens, lead(text) OVER (ORDER BY turn_idx) AS next_text FROM turns WHERE section_idx IN (SELECT section_idx FROM b)),
  q AS (SELECT unnest(embedding) AS y, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE vec_id = 3),
@@ -600,10 +649,13 @@ def greedy_ids(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.top_k_ids(F.col("embedding"), 5)).alias("place", "id"))
 
 
-@query("cross_entropy", "SELECT label, round(avg(-ln(greatest(abs(CAST(embedding[1] AS DOUBLE)), 1e-9))), 6) AS loss, count(*) AS n FROM embeddings GROUP BY label")
+@query("cross_entropy", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), z AS (SELECT vec_id, label, list_transform(x, lambda v: exp(v - list_max(x))) AS z FROM e)
+ SELECT label, round(avg(-ln(greatest(z[1 + vec_id % len(z)] / list_sum(z), 1e-9))), 6) AS loss, count(*) AS n FROM z GROUP BY label""")
 def cross_entropy(spark, sf_dir):
-    p = F.abs(F.col("embedding")[0].cast("double"))
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.avg(V.cross_entropy(p)), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
+    """Each vector is a row of logits, and its target the place that its id names."""
+    p = V.softmax(F.col("embedding").cast("array<double>"))
+    target = F.element_at(p, (1 + F.col("vec_id") % F.size("embedding")).cast("int"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.avg(V.cross_entropy(target)), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
 @query("corpus_shares", f"WITH {NOISY} SELECT CAST(person_id AS INTEGER) AS person_id, count(*) AS turns, count(*) FILTER (len({w()}) >= 3) AS long_turns, count(DISTINCT section_idx) AS sections FROM noisy GROUP BY person_id")

@@ -1,6 +1,8 @@
-"""Session settings that the engine relies on."""
+"""Session settings that the engine relies on, and the folder that driver and executors share."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,3 +22,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables in sf_dir, by whatever path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="parlance-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed now and kept in the shared folder, so that it survives the loss of any executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.operators import sessions
+from parlance.operators.ordering import numbered
+from parlance.session import checkpointed
+from parlance.sources import splits
 
 
 def chat_messages(lines: DataFrame) -> DataFrame:
@@ -28,13 +31,24 @@ def read_chat(spark: SparkSession, root: str) -> DataFrame:
     return chat_messages(spark.read.text(f"{root}/*/*.tsv").select(F.col("_metadata.file_path").alias("channel"), "value"))
 
 
-def chat_turns(messages: DataFrame, bot_id: int) -> DataFrame:
-    """Bot runs go, sections are cut at long gaps, speakers numbered, neighbours merged; sections of two turns or more stay."""
+def chat_turns(messages: DataFrame, bot_id: int, ranges: int | None = None) -> DataFrame:
+    """Bot runs go, sections are cut at long gaps, speakers numbered, neighbours merged; sections of two turns or more stay.
+
+    Channels are worked on in ranges of ids, so one of any length is many tasks.
+    """
     bot = F.col("author_id") == bot_id
-    rows = sessions.person_ids(sessions.sections(sessions.drop_bot_runs(messages, bot)), bot)
+    spread = sessions.spread(messages, ranges)
+    rows = sessions.person_ids(sessions.sections(sessions.drop_bot_runs(spread, bot)), bot)
     return sessions.keep_dialogs(sessions.merged_turns(rows))
 
 
+def chat_corpus(turns: DataFrame) -> DataFrame:
+    """Turns (section_idx, turn_idx, person_id, text) of `chat_turns`: sections numbered by channel, that is by path, and place."""
+    turns = checkpointed(turns)
+    places = numbered(turns.select("channel", "section").distinct(), ["channel", "section"], "section_idx")
+    return turns.join(places, ["channel", "section"]).select("section_idx", F.col("turn_idx").cast("bigint"), F.col("person_id").cast("bigint"), "text")
+
+
 def dialog_lines(lines: DataFrame, mark: str = "__eou__") -> DataFrame:
     """Turns of lines (section_idx, value): one dialog a line, speakers 1 and 0 in turn; two utterances at least."""
     parts = F.filter(F.transform(F.split("value", mark, -1), lambda x: T.sanitize(x)), lambda x: x != "")
@@ -53,9 +67,9 @@ def story_turns(stories: DataFrame, limit: int | None = None, least: int = 3, mo
 
 
 def read_stories(spark: SparkSession, path: str, mark: str = "<|endoftext|>") -> DataFrame:
-    """(section_idx, value) of a file cut at mark; the index follows file and place."""
-    rows = spark.read.option("lineSep", mark).text(path).where(T.one_spaced(F.col("value")) != "")
-    return rows.select(F.monotonically_increasing_id().alias("section_idx"), "value")
+    """(section_idx, value) of files cut at mark; the index rises by path and place."""
+    rows = splits.numbered_lines(splits.lines(spark, path, mark), "section_idx")
+    return rows.where(T.one_spaced(F.col("value")) != "").select("section_idx", "value")
 
 
 def tree_paths(nodes: DataFrame, most: int = 6) -> DataFrame:
@@ -83,9 +97,9 @@ def _tree_schema(depth: int) -> str:
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """(section_idx, value) of JSON lines, plain or .gz by suffix; the index rises by file and line."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    return rows.select(F.monotonically_increasing_id().alias("section_idx"), "value")
+    """(section_idx, value) of JSON lines, plain or .gz by suffix; the index rises by path and line."""
+    rows = splits.numbered_lines(splits.lines(spark, path), "section_idx")
+    return rows.where(F.trim("value") != "").select("section_idx", "value")
 
 
 def _best(replies):
@@ -121,6 +135,11 @@ def tree_turns(lines: DataFrame, lang: str = "en", limit: int | None = None, mos
     return path.select("section_idx", nth.cast("bigint").alias("turn_idx"), F.when(F.col("role") == "assistant", 0).otherwise(1).alias("person_id"), "text")
 
 
+def read_dialogs(spark: SparkSession, path: str) -> DataFrame:
+    """(section_idx, value) of files with a dialog a line; the index rises by path and line."""
+    return splits.numbered_lines(splits.lines(spark, path), "section_idx").select("section_idx", "value")
+
+
 def seed_turns(pairs: DataFrame) -> DataFrame:
     """Turns of (section_idx, user, bot): two a pair, tags neutralised, spacing kept."""
     both = F.array(F.struct(F.lit(1).alias("person_id"), T.sanitize_tags(F.col("user")).alias("text")), F.struct(F.lit(0).alias("person_id"), T.sanitize_tags(F.col("bot")).alias("text")))

@@ -1,7 +1,8 @@
-"""Channels as streams: bounded history, replies, and sections of a live message stream."""
+"""Channels as streams: bounded history, and sections of a live message stream. `service` answers requests."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parlance.functions import text as T
+
 HISTORY = 20
 GAP_SECONDS = 1800
 
@@ -20,14 +23,13 @@ def requests(stream: DataFrame, api_key: str | None = None) -> DataFrame:
     """
     if api_key is not None:
         stream = stream.where(F.coalesce(F.col("api_key"), F.lit("")) == api_key)
-    body = F.get_json_object("body", "$.input")
-    rows = stream.select(F.coalesce(F.get_json_object("body", "$.channel_id"), F.lit("default")).alias("channel"), "seq", F.trim(body).alias("input"))
+    rows = stream.select(F.coalesce(T.json_field(F.col("body"), "channel_id"), F.lit("default")).alias("channel"), "seq", T.one_spaced_trim(T.json_field(F.col("body"), "input")).alias("input"))
     return rows.where("input is not null and input <> ''")
 
 
 def statuses(stream: DataFrame, api_key: str) -> DataFrame:
     """(seq, status) of requests (seq, api_key, body): 401 for another key, 400 without an input, else 200."""
-    text = F.trim(F.get_json_object("body", "$.input"))
+    text = T.one_spaced_trim(T.json_field(F.col("body"), "input"))
     status = F.when(F.coalesce(F.col("api_key"), F.lit("")) != api_key, 401).when(F.coalesce(text, F.lit("")) == "", 400).otherwise(200)
     return stream.select("seq", status.alias("status"))
 
@@ -35,13 +37,14 @@ def statuses(stream: DataFrame, api_key: str) -> DataFrame:
 def chat(reply: Callable[[list[str], str], str], recall: Callable[[str], list[str]] = lambda text: []) -> Callable[[str, list[str]], str]:
     """An answer function for `history`: what recall finds for the input comes before the channel's own entries.
 
-    reply gets the memory and the input. Where it fails the answer is None, and the channel stays as it was.
+    reply gets the memory and the input. Where it fails, which is logged, the answer is None, and the channel stays as it was.
     """
 
     def answer(text: str, entries: list[str]) -> str | None:
         try:
             return reply([*recall(text), *entries], text)
         except Exception:  # a failed answer is a result of its own, which requests go on after
+            logging.getLogger(__name__).exception("no reply")
             return None
 
     return answer
@@ -91,18 +94,3 @@ def sections(stream: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
         yield pd.DataFrame(out, columns=["channel", "id", "section"])
 
     return stream.groupBy("channel").applyInPandasWithState(update, "channel string, id long, section long", "section long, last_ts long, last_id long", "append", GroupStateTimeout.NoTimeout)
-
-
-def serve(stream: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Starts a query that gives each micro-batch of requests to answer (channel, seq, reply) and appends JSON replies to out."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        replies = answer(rows)
-        replies.select("channel", "seq", F.to_json(F.struct("reply")).alias("body")).write.mode("append").parquet(out)
-
-    return requests(stream).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
-
-
-def extend_index(index_path: str, live: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> None:
-    """Appends a micro-batch of turns with tokens to an index of (row_idx, person_id, tokens, embedding)."""
-    embed(live).where(F.size("tokens") > 0).write.mode("append").parquet(index_path)

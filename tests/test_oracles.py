@@ -43,9 +43,8 @@ def test_entry_works_without_llm(monkeypatch):
     import __spark_entry__
 
     with monkeypatch.context() as m:
-        m.setitem(sys.modules, "parlance.llm.entry", None)
-        m.setitem(sys.modules, "corpus_pipeline", None)
-        m.delattr("parlance.llm.entry", raising=False)
+        for name in ("parlance.llm", "parlance.llm.entry", "corpus_pipeline"):
+            m.setitem(sys.modules, name, None)
         alone = importlib.reload(__spark_entry__)
         assert set(alone.queries()) == set(catalog.QUERIES) and set(alone.oracle_sql()) == set(catalog.ORACLES)
     importlib.reload(__spark_entry__)
