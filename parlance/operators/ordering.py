@@ -63,7 +63,7 @@ def ranged(rows: DataFrame, order: list[str | Column], name: str = "__range", ra
     return rows.withColumn(name, range_of(rows, order, cuts(rows, order, ranges)))
 
 
-def running(rows: DataFrame, order: list[str | Column], value: Column, name: str, ranges: int = RANGES) -> DataFrame:
+def running(rows: DataFrame, order: list[str | Column], value: Column, name: str, ranges: int | None = None) -> DataFrame:
     """rows with the sum of value over all rows before theirs in the order."""
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = ranged(rows, order, "__range", ranges).withColumn("__value", value)
@@ -74,6 +74,6 @@ def running(rows: DataFrame, order: list[str | Column], value: Column, name: str
     return dealt.withColumn("__own", own).join(F.broadcast(starts), "__range").withColumn(name, F.col("__own") + F.col("__before")).drop("__range", "__value", "__own", "__before")
 
 
-def numbered(rows: DataFrame, order: list[str | Column], name: str = "nth", ranges: int = RANGES) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], name: str = "nth", ranges: int | None = None) -> DataFrame:
     """rows with their place from 0 by order; rows that tie in all of it are numbered in any order."""
     return running(rows, order, F.lit(1).cast("bigint"), name, ranges)

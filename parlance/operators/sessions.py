@@ -36,8 +36,10 @@ def _by_id(rows: DataFrame, *keys: str):
 def _carried(rows: DataFrame, keys: list[str], summary: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
     """rows with the carry columns, which are windows over the summaries of the ranges.
 
-    The summary is one row for keys and range; windows in carry order them by range.
+    The summary is one row for keys and range; windows in carry order them by range. The rows are
+    read twice, for their summary and for the join, so they are computed once and kept.
     """
+    rows = checkpointed(rows)
     held = rows.groupBy(*keys, RANGE).agg(*[c.alias(n) for n, c in summary.items()])
     for name, column in carry.items():
         held = held.withColumn(name, column)
@@ -103,7 +105,7 @@ def sections(messages: DataFrame, gap: int = GAP_SECONDS, boundaries: DataFrame
 def person_ids(messages: DataFrame, bot: Column) -> DataFrame:
     """Adds person_id within the section: 0 for the bot, others from 1 by first message."""
     if RANGE in messages.columns:
-        marked = messages.withColumn("__bot", F.coalesce(bot, F.lit(False)))
+        marked = checkpointed(messages.withColumn("__bot", F.coalesce(bot, F.lit(False))))  # read three times
         first = checkpointed(marked.where("not __bot").groupBy("channel", "section", "author_id").agg(F.min("id").alias("first")))
         placed = numbered(first, ["channel", "section", "first"], "__nth")
         base = placed.groupBy("channel", "section").agg(F.min("__nth").alias("__base"))
