@@ -7,7 +7,7 @@ only these, and the next ones wherever the edit changes the characters at a cut,
 Then the sums on the paths to the root are updated.
 
 Defined results: null and empty texts have 0 tokens; edits beyond the end of a text are clipped;
-repeated rows are counted each for itself; an empty table gives no row; only doc_id and text are read.
+texts of any length are counted whole, and edits are found in linear time; repeated rows are counted each for itself; an empty table gives no row; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -83,6 +83,62 @@ class CountTree:
     def text(self) -> str:
         return "".join(self.pieces)
 
+    def _touched(self, start: int, end: int) -> tuple[int, int]:
+        """Leaves from the first whose cut, or the character before it, an edit touches, to the last."""
+        a = min(bisect_right(self.starts, start) - 1, len(self.pieces) - 1)
+        if a and start <= self.starts[a]:
+            a -= 1
+        return a, min(bisect_right(self.starts, end), len(self.pieces))
+
+    def edit_all(self, edits: list[tuple[int, int, str]]) -> None:
+        """Replaces characters (start, end, new) of the text as it is; edits don't overlap.
+
+        Leaves are passed once, however many edits there are; those that edits touch are encoded again, and the sums made anew.
+        """
+        size = self.starts[-1]
+        todo = sorted(((s := min(max(start, 0), size), min(max(end, s), size), new) for start, end, new in edits), key=lambda e: e[:2])
+        if not self.pieces:
+            self._build(leaves("".join(new for _, _, new in todo)))
+            return
+        pieces, counts, at, k = [], [], 0, 0
+        own = self.sums[self.width : self.width + len(self.pieces)]
+        while k < len(todo):
+            a, b = self._touched(*todo[k][:2])
+            a = max(a, at)
+            pieces += self.pieces[at:a]
+            counts += own[at:a]
+            first = k
+            while True:
+                while k < len(todo) and self._touched(*todo[k][:2])[0] < b:
+                    b = max(b, self._touched(*todo[k][:2])[1])
+                    k += 1
+                parts, place = [], self.starts[a]
+                for start, end, new in todo[first:k]:
+                    parts += [self._between(a, place, start), new]
+                    place = end
+                region = "".join(parts) + self._between(a, place, self.starts[b])
+                if b == len(self.pieces) or region and not region[-1].isspace():
+                    break
+                b += 1  # a cut must follow a character that is no space
+            known = dict(zip(self.pieces[a:b], own[a:b], strict=True))
+            while pieces and (not region or not region[0].isspace()):  # and be followed by one
+                known[pieces[-1]] = counts.pop()
+                region = pieces.pop() + region
+            cut = leaves(region)
+            pieces += cut
+            counts += [known[p] if p in known else self._tokens(p) for p in cut]
+            at = b
+        self._build(pieces + self.pieces[at:], counts + own[at:])
+
+    def _between(self, leaf: int, start: int, end: int) -> str:
+        """The text from start to end, start being in that leaf or after it."""
+        if start >= end:
+            return ""
+        leaf = max(leaf, bisect_right(self.starts, start) - 1)
+        last = min(bisect_right(self.starts, end - 1), len(self.pieces))
+        base = self.starts[leaf]
+        return "".join(self.pieces[leaf:last])[start - base : end - base]
+
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces the characters from start to end."""
         size = self.starts[-1]
@@ -90,13 +146,7 @@ class CountTree:
         if not self.pieces:
             self._build(leaves(new))
             return
-        # leaves from the first whose cut, or the character before it, the edit touches, to the last
-        a = min(bisect_right(self.starts, start) - 1, len(self.pieces) - 1)
-        if a and start <= self.starts[a]:
-            a -= 1
-        b = min(bisect_right(self.starts, end), len(self.pieces))
-        if b < len(self.pieces) and end >= self.starts[b]:
-            b += 1
+        a, b = self._touched(start, end)
         base = self.starts[a]
         region = "".join(self.pieces[a:b])
         region = region[: start - base] + new + region[end - base :]
@@ -129,13 +179,27 @@ class CountTree:
             i //= 2
 
 
-#: Edits of the query: personal data and long numbers become placeholders.
-REDACTIONS = [(re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+"), "[mail]"), (re.compile(r"\+?\d[\d ()-]{7,}\d"), "[number]")]
+# What mails and long numbers look like; the part of a mail before the @ is looked for backwards, from the @ on.
+_domain, _name = re.compile(r"@[\w-]+\.[\w.]+"), re.compile(r"[^\w.+-]")
+_number = re.compile(r"\+?\d[\d ()-]{7,}\d")
+
+
+def _mails(text: str):
+    """(start, end) of runs of letters, digits and .+-_ that an @ and a domain follow, each letter looked at twice at most."""
+    last = at = 0
+    run = 0  # where the run of name characters that reaches the next @ begins
+    for m in _domain.finditer(text):
+        for x in _name.finditer(text, at, m.start()):
+            run = x.end()
+        at = m.start()
+        if max(run, last) < m.start():
+            yield max(run, last), m.end()
+            last = m.end()
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, new) of non-overlapping edits, from the end of the text to its start."""
-    found = sorted((m.start(), m.end(), new) for p, new in REDACTIONS for m in p.finditer(text))
+    """The query's edits: (start, end, new) of mails and long numbers, which become placeholders, from the end of the text to its start."""
+    found = sorted([(a, b, "[mail]") for a, b in _mails(text)] + [(*m.span(), "[number]") for m in _number.finditer(text)])
     out: list = []
     for x in found:
         if not out or x[0] >= out[-1][1]:
@@ -159,8 +223,7 @@ def count_edited(docs: DataFrame, ranks: str, edits: Callable[[str], list[tuple[
                 tree = CountTree(t or "", count)
                 before, tree.encoded = tree.total, 0
                 todo = edits(t or "")
-                for e in todo:
-                    tree.edit(*e)
+                tree.edit_all(todo)
                 out.append((before, len(todo), tree.total, tree.encoded))
             cols = np.array(out, np.int64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(c)) for c in cols]], ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "chars_encoded_again"])
