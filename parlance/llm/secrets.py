@@ -33,7 +33,7 @@ BASE = {
 MORE = {
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     "forge": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     "login": (r"[a-z][a-z0-9+.-]{0,31}://[^\s/:@]+:[^\s/:@]+@[^\s/]+", 0, 0),
 }
 
