@@ -14,14 +14,16 @@ over the whole benchmark first.
 
 Defined results: null and empty texts hold nothing; items with fewer than five words have the whole
 sequence as their shingle; items without words match nothing; repeated rows and items are reported
-each for itself, with their ids; an empty benchmark gives no row. Only doc_id and text, item_id and
+each for itself, with their ids; of an item's windows in a text the one with the greatest similarity
+is given, of equals the first, then the shortest; texts of any length are searched whole, and windows
+of equal words are looked at once; an empty benchmark or table gives no row. Only doc_id and text, item_id and
 text are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import Scratch, maybe_broadcast, small_batches, with_ids
-from parlance.llm.textkit import U, hashed, shingles, simhash
+from parlance.llm.textkit import _K, U, hashed, mix, shingles, simhash
 
 RADIUS = 15
 SIMILARITY = 0.8
@@ -46,6 +48,21 @@ def words(text: str) -> np.ndarray:
     return hashed(_word.findall(text.lower()))
 
 
+_BACK = pow(int(_K), -1, 1 << 64)
+
+
+def _running(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the hashes before each place, each times a power of its place, and the inverse powers."""
+    power, back = (np.cumprod(np.concatenate([np.ones(1, U), np.full(len(h), k, U)])) for k in (_K, U(_BACK)))
+    return np.concatenate([np.zeros(1, U), np.cumsum(mix(h) * power[:-1], dtype=U)]), back
+
+
+def _windows(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each window of n words that its words in their order decide."""
+    total, back = sums
+    return (total[starts + n] - total[starts]) * back[starts]
+
+
 class Items:
     """One block of items and its multi-index over fingerprint blocks."""
 
@@ -62,11 +79,18 @@ class Items:
         self.prints = np.array(prints, U)
         holders = Counter(s for x in self.sets for s in x.tolist())
         self.shingles = np.array(sorted(holders), U)
-        self.weights = [np.array([(weight or {}).get(s, 1 / holders[s]) for s in x.tolist()]) for x in self.sets]
-        self.by_shingle: dict[int, list[int]] = defaultdict(list)
-        for i, x in enumerate(self.sets):
-            for s in x.tolist():
-                self.by_shingle[s].append(i)
+        # the items' shingles, as places in self.shingles, end to end: where each item begins, and the weights
+        self.counts = np.array([len(x) for x in self.sets], np.int64)
+        self.begins = np.cumsum(self.counts) - self.counts
+        flat = np.concatenate(self.sets) if self.sets else np.empty(0, U)
+        self.flat = np.searchsorted(self.shingles, flat)
+        of = np.array([(weight or {}).get(s, 1 / holders[s]) for s in self.shingles.tolist()])
+        self.weights = of[self.flat] if len(flat) else np.empty(0)
+        self.totals = np.add.reduceat(self.weights, self.begins) if len(flat) else np.empty(0)
+        # the distinct sizes of the items that hold each shingle, end to end
+        pairs = np.unique(np.stack([self.flat, np.repeat(np.array(self.sizes, np.int64), self.counts)], 1), axis=0) if len(flat) else np.empty((0, 2), np.int64)
+        self.lengths = pairs[:, 1]
+        self.length_begins = np.searchsorted(pairs[:, 0], np.arange(len(self.shingles) + 1))
         # a bitmap over the low bits rules most shingles out before the exact look-up
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.shingles & U((1 << 20) - 1)).astype(int)] = True
@@ -88,12 +112,40 @@ class Items:
         return found[np.bitwise_count(self.prints[found] ^ U(print_)) <= RADIUS]
 
     def known(self, s: np.ndarray) -> np.ndarray:
-        """Positions of s that are shingles of some item."""
+        """The place in self.shingles of each of s, -1 for those of no item."""
+        out = np.full(len(s), -1, np.int64)
         at = np.flatnonzero(self.bits[(s & U((1 << 20) - 1)).astype(np.int64)])
-        if not len(at):
-            return at
-        found = np.searchsorted(self.shingles, s[at])
-        return at[self.shingles[np.minimum(found, len(self.shingles) - 1)] == s[at]]
+        if len(at):
+            found = np.minimum(np.searchsorted(self.shingles, s[at]), len(self.shingles) - 1)
+            out[at] = np.where(self.shingles[found] == s[at], found, -1)
+        return out
+
+    def starts(self, place: np.ndarray, words: int) -> dict[int, np.ndarray]:
+        """By length, where windows begin that hold a shingle of an item of that length, in a text of so many words."""
+        at = np.flatnonzero(place >= 0)
+        sizes = self.length_begins[place[at] + 1] - self.length_begins[place[at]]
+        which = np.repeat(self.length_begins[place[at]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        length, at = np.minimum(self.lengths[which], words), np.repeat(at, sizes)
+        out = {}
+        for n in np.unique(length).tolist():
+            if n < SHINGLE and n != words:
+                continue
+            p = at[length == n]
+            low, high = np.maximum(0, p + SHINGLE - n), np.minimum(p, words - n)
+            change = np.zeros(words - n + 2, np.int64)
+            np.add.at(change, low[low <= high], 1)
+            np.add.at(change, high[low <= high] + 1, -1)
+            out[n] = np.flatnonzero(np.cumsum(change) > 0)
+        return out
+
+    def shares(self, held: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """What share of each item's weight these shingles, places in self.shingles, make up."""
+        mark = np.zeros(len(self.shingles), bool)
+        mark[held] = True
+        sizes = self.counts[items]
+        heads = np.cumsum(sizes) - sizes
+        which = np.repeat(self.begins[items] - heads, sizes) + np.arange(int(sizes.sum()))
+        return np.add.reduceat(self.weights[which] * mark[self.flat[which]], heads) / self.totals[items]
 
     def leaks(self, text: str) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity): the best window of each item in the text."""
@@ -102,29 +154,32 @@ class Items:
 
     def leaks_in(self, h: np.ndarray, s: np.ndarray) -> list[tuple[int, int, int, float]]:
         best: dict[int, tuple[float, int, int]] = {}
-        places: dict[int, set[int]] = defaultdict(set)  # window length: starts
-        for p in self.known(s).tolist():
-            for n in {self.sizes[i] for i in self.by_shingle[int(s[p])]}:
-                n = min(n, len(h))
-                if n >= SHINGLE or n == len(h):
-                    places[n].update(range(max(0, p + SHINGLE - n), min(p, len(h) - n) + 1))
+        place = self.known(s)
+        places = self.starts(place, len(h))
+        held = {n: place for n in places}  # of windows by length, what stands at each place
         for n in self.short:  # an item of fewer words than a shingle is met by its own windows
             if n <= len(h):
-                w = shingles(h, n)
-                places[n].update(self.known(w).tolist())
-        for n, starts in places.items():
-            every, step = np.array(sorted(starts), np.int64), max(1, WINDOW_WORDS // n)
-            for at in (every[k : k + step] for k in range(0, len(every), step)):
+                held[n] = self.known(shingles(h, n))
+                places[n] = np.union1d(places.get(n, np.empty(0, np.int64)), np.flatnonzero(held[n] >= 0))
+        sums = None
+        for n, starts in sorted(places.items()):
+            if len(starts) > 1:  # equal windows are looked at once, where they come first
+                sums = _running(h) if sums is None else sums
+                starts = np.sort(starts[np.unique(_windows(sums, starts, n), return_index=True)[1]])
+            step = max(1, WINDOW_WORDS // n)
+            for at in (starts[k : k + step] for k in range(0, len(starts), step)):
                 inside = np.repeat(at, n) + np.tile(np.arange(n), len(at))
                 prints = simhash(h[inside], np.arange(len(at)) * n, np.full(len(at), n))
                 for a, f in zip(at.tolist(), prints.tolist(), strict=True):
-                    near = self.near(f).tolist()
-                    window = np.unique(shingles(h[a : a + n], SHINGLE)) if near else None
-                    for i in near:
-                        held = np.isin(self.sets[i], window)
-                        share = float(self.weights[i][held].sum() / self.weights[i].sum())
-                        if share >= SIMILARITY - 1e-12 and (i not in best or (-share, a) < (-best[i][0], best[i][1])):
-                            best[i] = (share, a, n)
+                    near = self.near(f)
+                    if len(near):
+                        own = held[n][a : a + max(1, n - SHINGLE + 1)]
+                        shares = self.shares(own[own >= 0], near)
+                        for i in np.flatnonzero(shares >= SIMILARITY - 1e-12).tolist():
+                            item, share = int(near[i]), float(shares[i])
+                            # first come the greatest share, then the first window, then the shortest
+                            if item not in best or (-share, a, n) < (-best[item][0], *best[item][1:]):
+                                best[item] = (share, a, n)
         return [(i, a, n, share) for i, (share, a, n) in sorted(best.items())]
 
 
