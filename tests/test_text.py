@@ -99,3 +99,17 @@ def test_vectors(spark):
     ).first()
     assert row["pen"] == [1, 0.5, 1, 0.5] and row["mask"] == [0.5, 0, 0.1] and row["zero"] == 0
     assert row["win"] == [0, 0, 5, 6] and row["warm"] == 0.5 and row["end"] == 0.1 and row["soft"] == [0.5, 0.5]
+
+
+def test_functions_without_a_query(spark):
+    from parlance.operators import sessions
+
+    row = spark.createDataFrame([("see https://e.org/x now www.a.b", 175928847299117063)], "t string, id long")
+    out = row.select(T.strip_urls(F.col("t")).alias("t"), T.snowflake_seconds(F.col("id")).alias("s")).first()
+    assert out["t"] == "see now" and out["s"] == 1462015105
+    assert [tuple(r) for r in row.select(V.position_feature(F.lit(50)), V.position_feature(F.lit(500))).collect()] == [(0.5, 1.0)]
+    window = spark.createDataFrame([([5, 6, 7],), ([],)], "w array<long>")
+    assert [r[0] for r in window.select(V.window_ids(F.col("w"), 4, 0)).collect()] == [[0, 5, 6, 7], [0, 0, 0, 0]]
+    m = spark.createDataFrame([("c", i, i, i % 2, f"said <{i}>\n here") for i in range(25)], "channel string, id long, ts_secs long, author_id long, content string")
+    prompts = {r["window"]: r["prompt"].split("\n") for r in sessions.window_prompt(m).collect()}
+    assert len(prompts[0]) == 20 and len(prompts[1]) == 10 and prompts[1][0].startswith("0. 1: said ") and prompts[0][3].endswith("here")
