@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from parlance.functions import text as T
 from parlance.functions import vectors as V
 from parlance.operators import cleaning, persons, retrieval, sessions, vocabulary
-from parlance.session import shared_folder, table
+from parlance.session import checkpointed, shared_folder, table
 from parlance.sources import corpus, ingest, splits
+from parlance.streaming import service
+from parlance.streaming import turns as live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -365,6 +367,25 @@ def ranged_turns(spark, sf_dir):
     return turns.select("channel", F.col("section").cast("long").alias("section"), F.col("turn_idx").cast("long").alias("turn_idx"), F.col("person_id").cast("long").alias("person_id"), "text")
 
 
+@query("live_turns", f"WITH {MSGS}, f AS (SELECT * FROM m), {PEOPLE}, {MERGED} SELECT CAST(channel AS VARCHAR) AS channel, CAST(section AS BIGINT) AS section, CAST(turn_idx AS BIGINT) AS turn_idx, CAST(person_id AS BIGINT) AS person_id, text FROM g")
+def live_turns(spark, sf_dir):
+    """Turns of a stream of all messages and one of a later time, whose watermark closes them all."""
+    path = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    rows = messages(spark, sf_dir).withColumn("channel", F.col("channel").cast("string"))
+    last = rows.agg(F.max("ts_secs").alias("t")).select(F.lit("last").alias("channel"), F.lit(0).cast(rows.schema["id"].dataType).alias("id"), (F.col("t") + 10**6).alias("ts_secs"), F.lit("end").alias("author_id"), F.lit("").alias("content"))
+    rows.unionByName(last).write.parquet(f"{path}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, live.PROVIDER)
+    try:
+        stream = live.live_turns(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), _bot(), "1 hour")
+        run = stream.writeStream.trigger(availableNow=True).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{path}/out").where("channel <> 'last' and not late").select("channel", "section", "turn_idx", "person_id", "text")
+
+
 @query("sliding_windows", f"WITH {MSGS}, r AS (SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY id) - 1 AS i FROM m) SELECT channel, CAST(win AS BIGINT) AS win, CAST(i - 15 * win AS BIGINT) AS position, id FROM (SELECT *, unnest(range(0, i // 15 + 1)) AS win FROM r) WHERE i - 15 * win < 20")
 def sliding_windows(spark, sf_dir):
     return sessions.sliding_windows(messages(spark, sf_dir)).select("channel", F.col("window").cast("long").alias("win"), F.col("position").cast("long").alias("position"), "id")
@@ -564,6 +585,32 @@ def recall_scores(spark, sf_dir):
     return near.select(F.col("query_id").alias("seq"), "rank", F.round("score", 5).alias("score"))
 
 
+@query("chat_service", f"""WITH {TURNS}, r AS (SELECT section_idx * 1000 + turn_idx AS seq, section_idx, text, section_idx % 7 = 0 AS strange FROM turns WHERE person_id = 1),
+ f AS (SELECT seq, least(5, (SELECT count(*) FROM turns WHERE len({tokens()}) > 0)) + least(20, 2 * row_number() OVER (PARTITION BY section_idx ORDER BY seq) - 2) AS n FROM r WHERE NOT strange AND text <> '')
+ SELECT CAST(seq AS BIGINT) AS seq, CASE WHEN strange THEN 401 WHEN text = '' THEN 400 ELSE 200 END AS status, CASE WHEN strange THEN 'unauthorized' WHEN text = '' THEN 'missing or empty ' || chr(39) || 'input' || chr(39) ELSE '{{"reply":"' || length(text) || ' characters after ' || n || ' entries"}}' END AS body FROM r LEFT JOIN f USING (seq)""")
+def chat_service(spark, sf_dir):
+    """Responses to all user turns, each conversation a channel, by an answerer that tells what it was given; every seventh has no key."""
+    path = f"{shared_folder(spark)}/service-{uuid.uuid4().hex}"
+    said = turns_of(spark, sf_dir)
+    vocab = checkpointed(vocabulary.vocabulary(said))
+    vectors = checkpointed(_vectors(spark, sf_dir, vocab))
+    retrieval.put(retrieval.build_index(said, vocab, vectors, 64), f"{path}/index")
+    body = F.to_json(F.struct(F.col("text").alias("input"), F.col("section_idx").cast("string").alias("channel_id")))
+    key = F.when(F.col("section_idx") % 7 != 0, F.lit("key"))
+    asked = said.where("person_id = 1").select((F.col("section_idx") * 1000 + F.col("turn_idx")).cast("long").alias("seq"), key.alias("api_key"), body.alias("body"))
+    asked.write.parquet(f"{path}/requests")
+
+    def answer(rows: DataFrame) -> DataFrame:
+        return rows.select("channel", "seq", F.concat(F.length("input").cast("string"), F.lit(" characters after "), F.size("memory").cast("string"), F.lit(" entries")).alias("reply"))
+
+    run = service.serve(spark.readStream.schema(asked.schema).parquet(f"{path}/requests"), "key", f"{path}/index", vocab, vectors, 64, answer, path)
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.read.parquet(f"{path}/responses").select("seq", "status", "body")
+
+
 @query("teacher_next_turn", f"""WITH {TURNS}, {VOCAB}, {_CENTROIDS}, sc AS ({POSITIONAL}), b AS (SELECT section_idx FROM sc ORDER BY score DESC, section_idx LIMIT 1),
  o AS (SELECT section_idx, turn_idx, {tokens()} AS tokens, lead(text) OVER (ORDER BY turn_idx) AS next_text FROM turns WHERE section_idx IN (SELECT section_idx FROM b)),
  q AS (SELECT unnest(embedding) AS y, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE vec_id = 3),
