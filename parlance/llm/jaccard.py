@@ -16,7 +16,8 @@ FREQUENT of the commonest shingles are told apart. Links are followed to compone
 Defined results: null, empty and word-less texts have no shingle and are linked with nothing;
 fewer than five words are one shingle; equal sets are linked whatever the texts; rows with a null
 doc_id link others but can't name a component (null if nothing else is in it); repeated rows get
-equal results; an empty table gives no row. Only doc_id and text are read.
+equal results; shingles that are equally frequent are ordered by their hashes; texts of any length are compared
+whole; an empty table gives no row. Only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ t / (2 - t) |B| and (2 - t) / t |B|; templates outside these bounds are not comp
 
 All of it is a projection of each row: no shuffle, no Python. Defined results: null text and units
 of fewer than two words match nothing; ties go to the template listed first; repeated rows are
-reported each for itself; only doc_id and text are read.
+reported each for itself; texts of any length are scanned whole, line by line; an empty table gives no row;
+only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ left; k starts at the least count that could hold the tokens and rises while a w
 capacity. Nothing is shuffled, and memory is bounded by one block and one document.
 
 Defined results: a null or empty text is the end id alone; every id is in exactly one piece;
-repeated rows are packed each for itself; an empty table gives no piece. Only doc_id and text are read.
+repeated rows are packed each for itself; texts of any length are encoded whole, their first ids fill
+sequences of their own; rests of equal size go in the order of their task; an empty table gives no piece.
+Only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ A group larger than a shard is spread, and no step gathers a group, a shard or t
 task: ranks are counted within salted parts, and offsets of parts are summed beside them.
 
 Defined results: a null text has size 16 and CRC of the empty text, and is linked to other null or
-empty texts; repeated rows are placed each for itself; an empty table gives no row; only doc_id and
-text are read.
+empty texts; repeated rows are placed each for itself; groups that tie for a shard go by their keys,
+rows of a group by doc_id; a very long text is one row as any other, however large; an empty table gives
+no row; only doc_id and text are read.
 """
 
 from __future__ import annotations

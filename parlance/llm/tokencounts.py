@@ -7,7 +7,8 @@ only these, and the next ones wherever the edit changes the characters at a cut,
 Then the sums on the paths to the root are updated.
 
 Defined results: null and empty texts have 0 tokens; edits beyond the end of a text are clipped;
-texts of any length are counted whole, and edits are found in linear time; repeated rows are counted each for itself; an empty table gives no row; only doc_id and text are read.
+texts of any length are counted whole, and edits are found in linear time; repeated rows are counted
+each for itself; an empty table gives no row; only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ rows; every row is indexed and the search is exact.
 Defined results: null vectors and vectors with null or non-finite components take no part;
 components that a shorter vector lacks count as 0; equal rows count once, and rows that
 share a vec_id with other vectors each for themselves; ties go to the smaller vec_id; a null vec_id takes no part; fewer than k candidates
-give fewer rows; extra columns aren't read.
+give fewer rows; an empty table gives no row; extra columns aren't read.
 """
 
 from __future__ import annotations

@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     sample = Scratch(docs.sparkSession, "toxicity").save(training_sample(docs, labels, per_class))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(sizes) < 2:
-        return NoisyOr({}, 3.0 if 1 in sizes else -3.0)
+        return NoisyOr({}, 3.0 if 1 in sizes else -30.0)  # without toxic documents no number of sentences makes one
     chosen = _chosen(sample, sizes[1], sizes[0])
     rows = _found(sample, chosen).toArrow().combine_chunks().sort_by("key")
     y, sentences = rows.column("y").to_numpy(), rows.column("sentences").to_numpy()
