@@ -205,7 +205,7 @@ def line_numbers(spark, sf_dir):
     """Lines of files in the shared folder, numbered by path and place; the files' names rise with doc_id."""
     path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     line = F.concat_ws(" ", F.col("doc_id").cast("string"), T.one_spaced(F.coalesce("text", F.lit(""))))
-    documents(spark, sf_dir).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
+    documents(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(path)
     cut = F.instr("value", " ")
     rows = splits.numbered_lines(splits.lines(spark, path))
     return rows.select("line", F.substring_index("value", " ", 1).cast("long").alias("doc_id"), F.md5(F.when(cut > 0, F.substr("value", cut + 1)).otherwise("")).alias("text_md5"))
