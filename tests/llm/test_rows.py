@@ -114,3 +114,26 @@ def test_stages(spark, name):
     else:
         assert left == sorted(str(i) for i, _ in rows)
     assert out.where(F.length("text") > 100000).count() > 0
+
+
+def spread_of(out, rows):
+    """By text that several rows have: over how many shards they lie."""
+    text = dict(rows)
+    held = {}
+    for r in out:
+        held.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    return {t: len(s) for t, s in held.items()}
+
+
+@pytest.mark.parametrize("sizes,more", [([7] * 5 + [1] * 25, 1), ([30] + [1] * 30, 0), ([11, 11, 11, 3, 3, 3] + [1] * 18, 0)])
+def test_links_that_shards_cut(spark, sizes, more):
+    """A group lies over hardly more shards than its size and the shards' equal counts call for."""
+    rows = [(n, f"text {g}") for n, g in enumerate(g for g, size in enumerate(sizes) for _ in range(size))]
+    out = sharding.shard(docs(spark, rows), 5).collect()
+    counts = {}
+    for r in out:
+        counts[r["shard"]] = counts.get(r["shard"], 0) + 1
+    assert set(counts.values()) == {12} and len(out) == 60
+    got = spread_of(out, rows)
+    for g, size in enumerate(sizes):
+        assert got[f"text {g}"] <= -(-size // 12) + more, (g, size)
