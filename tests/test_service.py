@@ -81,6 +81,25 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert retrieval.top_k_each(index.limit(0), asked, 3, ["a", "b"]).count() == 0 and retrieval.top_k_each(index, asked.limit(0), 3, "a").count() == 0
 
 
+def test_nearest_rows_are_cut_as_they_come(spark, monkeypatch):
+    """What a task holds follows the queries, not the rows of a batch times the queries."""
+    rng = np.random.default_rng(3)
+    index = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(2000, 4)).round(1))], "a long, embedding array<double>").coalesce(1)
+    asked = index.where("a < 20").select(F.col("a").alias("query_id"), F.col("embedding").alias("query"))
+    whole = retrieval.top_k_each(index, asked, 5, "a").collect()
+    held, best, taken, real = [], retrieval._best, [], type(index).mapInArrow
+    monkeypatch.setattr(retrieval, "SCORES", 400)
+    monkeypatch.setattr(type(index), "mapInArrow", lambda self, f, schema: taken.append((self, f)) or real(self, f, schema))
+    again = retrieval.top_k_each(index, asked, 5, "a").collect()
+    key = lambda r: (r["query_id"], r["a"], r["rank"])
+    assert sorted(map(key, whole)) == sorted(map(key, again)) and len(whole) == 100
+    monkeypatch.setattr(retrieval, "_best", lambda found, *rest: held.append(sum(t.num_rows for t in found)) or best(found, *rest))
+    ((rows, run),) = taken
+    assert sum(b.num_rows for b in run(iter(rows.toArrow().to_batches()))) == 100
+    assert max(held) <= 2 * 400
+
+
+
 def indexed(spark, tmp_path):
     turns = spark.createDataFrame([(0, 0, 1, "red apple"), (0, 1, 0, "green pear"), (1, 0, 1, "blue sky"), (1, 1, 0, "red sky"), (2, 0, 1, "?")], TURN)
     words = ["red", "apple", "green", "pear", "blue", "sky"]
