@@ -1,6 +1,8 @@
 """Turns of live channels: sections, speakers and merged texts by state that doesn't grow with a section.
 
-Messages wait in state until the watermark has passed them, and are then taken in id order. What is
+Messages wait in state until the watermark has passed them, and are then taken in id order. They
+wait in runs, each sorted by id and cut into parts of PART messages, and runs are merged part by part, so
+a task holds a part of each run, however many messages a channel sends in one batch. What is
 kept besides is the open section's number, its last time, the speakers seen in it, and the open
 turn's text. A turn is given once another speaker, or a timer `gap` seconds after the section's last
 message, has closed it. What comes after the watermark has passed its time is late and is given apart.
@@ -8,6 +10,8 @@ message, has closed it. What comes after the watermark has passed its time is la
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +25,12 @@ from parlance.operators.sessions import GAP_SECONDS
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "channel string, section long, turn_idx long, person_id long, text string, late boolean, id long"
 _COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
+#: Messages of a part, and rows that are given at once.
+PART, GIVEN = 64, 5000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({c: "Int64" for c in ("section", "turn_idx", "person_id", "id")})
 
 
 class _Turns(StatefulProcessor):
@@ -29,43 +39,88 @@ class _Turns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "id long", "ts long, author string, bot boolean, text string")
+        self.waiting = handle.getMapState("runs", "run long, part long", "ids array<long>, ts array<long>, authors array<string>, bots array<boolean>, texts array<string>")
+        #: The next run's number and the least time that waits.
+        self.runs = handle.getValueState("next_run", "run long, least long")
         self.place = handle.getValueState("place", "section long, last long, turn long, person long, people long")
         self.people = handle.getMapState("people", "author string", "person long")
         self.said = handle.getListState("said", "text string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed, out = timerValues.getCurrentWatermarkInMs(), []
+        passed = timerValues.getCurrentWatermarkInMs()
         for frame in rows:
+            late, new = [], []
             for id_, ts, author, bot, text in zip(frame["id"].tolist(), frame["ts_secs"].tolist(), frame["author"], frame["bot"].tolist(), frame["text"], strict=True):
                 if ts * 1000 < passed:
-                    out.append((key[0], None, None, None, text, True, id_))
+                    late.append((key[0], None, None, None, text, True, id_))
                 else:
-                    self.waiting.updateValue((id_,), (ts, author, bot, text))
-        yield from self._drained(key, passed, out)
+                    new.append((id_, ts, author, bot, text))
+            self._wait(sorted(new, key=lambda m: m[0]))
+            if late:
+                yield _frame(late)
+        yield from self._drained(key, passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._drained(key, timerValues.getCurrentWatermarkInMs(), [])
-
-    def _drained(self, key, passed: int, out: list) -> Iterator[pd.DataFrame]:
+        yield from self._drained(key, timerValues.getCurrentWatermarkInMs())
+
+    def _wait(self, messages: list[tuple]) -> None:
+        """Adds a run of sorted messages to those that wait."""
+        if not messages:
+            return
+        run, least = self.runs.get() if self.runs.exists() else (0, None)
+        for part, at in enumerate(range(0, len(messages), PART)):
+            self.waiting.updateValue((run, part), tuple(map(list, zip(*messages[at : at + PART], strict=True))))
+        times = [m[1] for m in messages] + ([] if least is None else [least])
+        self.runs.update((run + 1, min(times)))
+
+    def _taken(self) -> Iterator[tuple]:
+        """All messages that wait, by id; a part leaves the state when it is read. Of messages with one id the last to come counts."""
+        parts = defaultdict(list)
+        for run, part in list(self.waiting.keys()):
+            parts[run].append(part)
+
+        def read(run: int) -> Iterator[tuple]:
+            for part in sorted(parts[run]):
+                columns = self.waiting.getValue((run, part))
+                self.waiting.removeKey((run, part))
+                for n, message in enumerate(zip(*columns, strict=True)):
+                    yield message[0], run, part, n, message
+
+        held = None
+        for *_, message in heapq.merge(*map(read, parts), key=lambda x: x[:4]):
+            if held is not None and held[0] != message[0]:
+                yield held
+            held = message
+        if held is not None:
+            yield held
+
+    def _drained(self, key, passed: int) -> Iterator[pd.DataFrame]:
         """Takes what the watermark has passed, closes the section if its time is over, and sets the next timer."""
-        ready, wake = [], []
-        for (id_,), value in list(self.waiting.iterator()):
-            if value[0] * 1000 < passed:
-                ready.append((id_, *value))
-            else:
-                wake.append(value[0] * 1000 + 1)
+        out, wake, pending = [], [], []
+        least = self.runs.get()[1] if self.runs.exists() else None
         section, last, turn, person, people = self.place.get() if self.place.exists() else (0, None, 0, None, 0)
 
         def close() -> None:
             nonlocal turn, person
             if person is not None:
-                out.append((key[0], section, turn, person, " ".join(x[0] for x in self.said.get()), False, None))
-                self.said.clear()
+                before = [x[0] for x in self.said.get()] if self.said.exists() else []
+                out.append((key[0], section, turn, person, " ".join(before + pending), False, None))
+                if before:
+                    self.said.clear()
+                pending.clear()
                 turn, person = turn + 1, None
 
-        for id_, ts, author, bot, text in sorted(ready):
-            self.waiting.removeKey((id_,))
+        ready = least is not None and least * 1000 < passed
+        if ready:
+            self.runs.update((self.runs.get()[0], None))
+        left = []
+        for id_, ts, author, bot, text in self._taken() if ready else ():
+            if ts * 1000 >= passed:
+                left.append((id_, ts, author, bot, text))
+                if len(left) >= GIVEN:
+                    self._wait(left)
+                    left = []
+                continue
             if last is not None and ts - last >= self.gap:
                 close()
                 section, turn, people = section + 1, 0, 0
@@ -83,18 +138,27 @@ class _Turns(StatefulProcessor):
                 if person is not None and who != person:
                     close()
                 person = who
-                self.said.appendValue((text,))
+                pending.append(text)
+            if len(out) >= GIVEN:
+                yield _frame(out)
+                out.clear()
+        self._wait(left)
         if last is not None:
             # a message that would still go on with this section is late from here on
             if (last + self.gap) * 1000 <= passed:
                 close()
             elif person is not None:
                 wake.append((last + self.gap) * 1000)
+            if pending:
+                self.said.appendList([(x,) for x in pending])
             self.place.update((section, last, turn, person, people))
+        least = self.runs.get()[1] if self.runs.exists() else None
+        if least is not None:
+            wake.append(least * 1000 + 1)
         if wake and min(wake) not in list(self.handle.listTimers()):
             self.handle.registerTimer(min(wake))
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS).astype({c: "Int64" for c in ("section", "turn_idx", "person_id", "id")})
+            yield _frame(out)
 
     def close(self) -> None:
         pass

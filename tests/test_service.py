@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +226,102 @@ def test_live_turns_need_their_state_store(spark):
 def test_chat_logs_what_failed(caplog):
     assert channels.chat(lambda m, t: 1 / 0)("hi", []) is None
     assert "ZeroDivisionError" in caplog.text
+
+
+class _State:
+    """Map, value or list state of a processor, in memory; seen counts the messages read from it."""
+
+    def __init__(self):
+        self.held, self.seen = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held.get("value", [])
+
+    def update(self, value):
+        self.held["value"] = value
+
+    def appendList(self, rows):
+        self.held["value"] = [*self.get(), *rows]
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def getValue(self, key):
+        value = self.held[key]
+        self.seen += len(value[0]) if isinstance(value[0], list) else 1
+        return value
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        return iter([(k, self.getValue(k)) for k in list(self.held)])
+
+    def clear(self):
+        self.held.clear()
+
+
+class _Handle:
+    def __init__(self):
+        self.states = []
+
+    def getMapState(self, *_):
+        self.states.append(_State())
+        return self.states[-1]
+
+    getValueState = getListState = getMapState
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, _):
+        pass
+
+
+class _Timers:
+    def __init__(self, passed):
+        self.passed = passed
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+
+def test_live_turns_hold_parts_of_a_channel(monkeypatch):
+    """A channel's messages of one batch are merged part by part; turns are given before all have been read."""
+    from parlance.streaming import turns as live
+
+    monkeypatch.setattr(live, "PART", 8, raising=False)
+    monkeypatch.setattr(live, "GIVEN", 50, raising=False)
+    rng = random.Random(4)
+    rows = [(i, 10 * i, rng.choice("abc"), False, f"t{i}") for i in range(3000)]
+    mixed = rng.sample(rows, len(rows))
+    frames = [pd.DataFrame(mixed[i : i + 300], columns=["id", "ts_secs", "author", "bot", "text"]) for i in range(0, 3000, 300)]
+    work, handle = live._Turns(1800), _Handle()
+    work.init(handle)
+    assert list(work.handleInputRows(("c",), iter(frames), _Timers(0))) == []
+    waiting, ahead, said = handle.states[0], [], []
+    for passed in (10_000_000, 10_000_000, 40_000_000):
+        for frame in work.handleExpiredTimer(("c",), _Timers(passed), None):
+            said += frame["text"].tolist()
+            ahead.append(waiting.seen - sum(len(t.split(" ")) for t in said))
+            assert len(frame) <= 51
+    turns = [[rows[0][4]]]
+    for before, (_, _, author, _, text) in zip(rows, rows[1:]):
+        if author == before[2]:
+            turns[-1].append(text)
+        else:
+            turns.append([text])
+    assert said == [" ".join(t) for t in turns]
+    assert ahead[0] < 300 and not waiting.held
