@@ -96,6 +96,28 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert sorted(map(tuple, out)) == list(enumerate(root))
 
 
+def test_cells_come_in_waves(spark, monkeypatch):
+    """The rows that move at once follow the sets, not the cells, whose rows grow with the square of a bucket."""
+    from parlance.llm import linking
+
+    monkeypatch.setattr(linking, "CELL", 8)
+    monkeypatch.setattr(linking, "WAVE_ROWS", 1200, raising=False)
+    moved, pairs = [], linking._cell_pairs
+
+    def counted(cells, *rest):
+        moved.append(cells.count())
+        return pairs(cells, *rest)
+
+    monkeypatch.setattr(linking, "_cell_pairs", counted)
+    rng = random.Random(7)
+    passage = "north wind carries seven lanterns"  # all lines share its runs, and nothing else
+    texts = [f"{passage} {prose(rng, 9, 10**6)}" for _ in range(90)]
+    texts += [f"{t} again" for t in texts[:10]]
+    out = lines.deduplicate(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0] * 90 + [1] * 10
+    assert len(moved) > 1 and max(moved) < 0.75 * sum(moved)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 30)]
