@@ -118,6 +118,27 @@ def test_cells_come_in_waves(spark, monkeypatch):
     assert len(moved) > 1 and max(moved) < 0.75 * sum(moved)
 
 
+def test_facts_move_once_to_the_waves(spark, monkeypatch):
+    """Waves read sets with their facts; none joins them again, and a bucket that is one cell moves each set once."""
+    from parlance.llm import linking
+
+    monkeypatch.setattr(linking, "WAVE_ROWS", 100, raising=False)
+    plans, rows, pairs = [], [], linking._cell_pairs
+
+    def seen(cells, *rest):
+        plans.append(cells._jdf.queryExecution().optimizedPlan().toString())
+        rows.append(cells.groupBy("key", "id").count().where("count > 1").count())
+        return pairs(cells, *rest)
+
+    monkeypatch.setattr(linking, "_cell_pairs", seen)
+    rng = random.Random(8)
+    texts = [f"north wind carries seven lanterns {prose(rng, 9, 10**6)}" for _ in range(90)]
+    texts += [f"{t} again" for t in texts[:10]]
+    out = lines.deduplicate(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0] * 90 + [1] * 10
+    assert len(plans) > 1 and not any("Join" in p for p in plans) and set(rows) == {0}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 30)]
