@@ -107,6 +107,20 @@ def test_index(spark):
     assert [(r["embedding"], r["entry"]) for r in rows] == [([0.5, 0.5], "<PERSON_1> a b </PERSON_1>"), ([0.0, 0.0], "<PERSON_0> zzz </PERSON_0>")]
 
 
+def test_turn_vectors_need_no_python(spark, monkeypatch):
+    turns = spark.createDataFrame([(0, 0, 1, "a b b"), (0, 1, 0, ""), (0, 2, 0, None), (1, 0, 0, "zzz <PAD>")], TURN)
+    vocab = spark.createDataFrame([(0, "<PAD>"), (7, "a"), (8, "b"), (6, "b")], "id long, token string")
+    vecs = spark.createDataFrame([(7, [3.0, 0.0]), (8, [0.0, 3.0]), (0, [9.0, 9.0])], "id long, vec array<double>")
+    want = [(0, 0, [1.0, 2.0]), (0, 1, [0.0, 0.0]), (0, 2, [0.0, 0.0]), (1, 0, [0.0, 0.0])]
+    for most in (200_000, 1):
+        monkeypatch.setattr(vocabulary, "BROADCAST_TOKENS", most)
+        out = retrieval.turn_centroids(turns, vocab, vecs, 2)
+        assert sorted((r["section_idx"], r["turn_idx"], r["embedding"]) for r in out.collect()) == want
+    for df in (out, retrieval.build_index(turns, vocab, vecs, 2)):
+        assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in vocabulary.vocabulary(spark.range(1).selectExpr("id section_idx", "id turn_idx", "1 person_id", "'a' text"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_requests(spark):
     rows = spark.createDataFrame([(1, "k", '{"input":" hi ","channel_id":"a"}'), (2, "no", '{"input":"x"}'), (3, None, '{"input":"x"}'), (4, "k", '{"input":" "}')], "seq long, api_key string, body string")
     assert [tuple(r) for r in channels.requests(rows, "k").collect()] == [("a", 1, "hi")]
