@@ -31,6 +31,14 @@ def test_dedup_cap_ties_and_empty(spark):
     assert cleaning.clean(turns(spark, [])).count() == 0
 
 
+def test_repeats_are_ranked_in_one_pass(spark, monkeypatch):
+    kept, plans = cleaning.checkpointed, []
+    monkeypatch.setattr(cleaning, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    rows = [(i, 0, 1, "Same line") for i in range(5)] + [(9, 0, 1, "other")]
+    assert rows_of(cleaning.cap_repeats(turns(spark, rows)), "section_idx") == [(0,), (1,), (2,), (9,)]
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_section_rules_and_metrics(spark):
     rows = [(0, 0, 0, "bot only one"), (0, 1, 0, "bot only two"), (1, 0, 1, "user one"), (1, 1, 1, "user two"), (2, 0, 1, "hello there"), (2, 1, 0, "good day to you"), (3, 0, 1, "!!!"), (3, 1, 0, "fine words here")]
     t = turns(spark, rows)

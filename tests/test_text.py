@@ -62,6 +62,16 @@ def test_escapes(spark, raw, new, n):
     assert both(spark, T.strip_escapes, raw) == (new, n)
 
 
+def test_plain_texts_are_cut_whole(spark):
+    """Tokens and spacing of whole texts, ASCII or not, are those of their words."""
+    texts = ["", None, " a\x1cb\x0bC \x85d", "ΑΣ ΟΔΟΣ.", "İI ß 5١ it's", "<PAD> x", "a__b A_b", "__URL__ <", "\u3000a\xa0B\u200bc", "x😀Y"] + [f"{chr(i)}aZ{chr(i)}9 " for i in range(0x250)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    lower = lambda w: F.lower(F.translate(w, "Σ", "σ"))
+    t = F.col("text")
+    same = T.tokenize(t).eqNullSafe(T._word_by_word(t, lower)) & T.one_spaced(t).eqNullSafe(F.array_join(T.words(t), " "))
+    assert rows.where(~same).count() == 0
+
+
 def test_tokens(spark):
     assert value(spark, T.tokenize, "hello, world!") == ["hello", ",", "world", "!"]
     assert value(spark, T.tokenize, "don't worry it's fine") == ["don't", "worry", "it's", "fine"]
