@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import Scratch, maybe_broadcast, small_batches, text_key, with_ids
-from parlance.llm.linking import buckets, link
+from parlance.llm.linking import buckets, link, shared_keys
 from parlance.llm.textkit import U, mix, shingles, word_hashes
 
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -212,7 +212,10 @@ def join(docs: DataFrame) -> DataFrame:
     full = rows.where("n > 0")
     index = full.select("grp", F.posexplode("prefix").alias("place", "key"))
     sets = full.select("id", "grp", "n", "wide", *[f"s{i}" for i in range(8)])
-    labels = link(buckets(index, scratch), sets, _near, lambda pairs, _: _verified(pairs, full.select("id", "key"), docs, scratch), scratch, True)
+    keys = shared_keys(index, scratch)
+    held = buckets(keys, scratch)
+    scratch.drop(keys)
+    labels = link(held, sets, _near, lambda pairs, _: _verified(pairs, full.select("id", "key"), docs, scratch), scratch, True)
     plain = scratch.save(rows.select("doc_id", "key", "n", "id"))
     named = scratch.save(plain.where("n > 0").join(labels, "id", "left").select("doc_id", "key", "n", F.coalesce("label", "id").alias("label")))
     scratch.release(0, plain, named)

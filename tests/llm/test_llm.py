@@ -139,6 +139,44 @@ def test_facts_move_once_to_the_waves(spark, monkeypatch):
     assert len(plans) > 1 and not any("Join" in p for p in plans) and set(rows) == {0}
 
 
+def test_texts_move_for_passing_lines_only(spark, monkeypatch):
+    """Lines that share a passage, but pass no test with any other, never move with their texts."""
+    from parlance.llm import linking
+
+    seen, pairs = {True: 0, False: 0}, linking._cell_pairs
+
+    def counted(cells, *rest):
+        seen["raw" in cells.columns] += cells.count()
+        return pairs(cells, *rest)
+
+    monkeypatch.setattr(linking, "_cell_pairs", counted)
+    rng = random.Random(9)
+    texts = [f"north wind carries seven lanterns {prose(rng, 9, 10**6)}" for _ in range(90)]
+    texts += [f"{t} again" for t in texts[:10]]
+    out = lines.deduplicate(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0] * 90 + [1] * 10
+    assert seen[False] > 90 and seen[True] < 0.4 * seen[False]
+
+
+def test_shared_keys_come_in_waves(spark):
+    """Waves give the same rows as one pass, and each takes its share of the keys."""
+    from parlance.llm import linking
+    from parlance.llm.common import Scratch
+
+    rng = random.Random(10)
+    rows = [(rng.randrange(-300, 300), rng.randrange(40), -1) for _ in range(1500)]
+    members = spark.createDataFrame(rows, "key long, grp long, place int")
+    groups = {}
+    for k, g, _ in rows:
+        groups.setdefault(k, set()).add(g)
+    wanted = sorted((k, g) for k, gs in groups.items() if len(gs) > 1 for g in gs)
+    scratch = Scratch(spark, "test")
+    for waves in (1, 3):
+        held = linking.shared_keys(members, scratch, waves)
+        assert sorted((r["key"], r["grp"]) for r in held.collect()) == wanted
+    assert len(held.inputFiles()) and len({f.rsplit("/", 2)[1] for f in held.inputFiles()}) == 3
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 30)]
