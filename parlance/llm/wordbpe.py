@@ -14,6 +14,8 @@ import numpy as np
 
 #: Bytes that the chunks kept per Python worker may take, by a count of CHUNK_BYTES besides letters and ids.
 CACHE_BYTES, CHUNK_BYTES = 32 << 20, 200
+#: Texts that are split at once, and their characters; split, a text takes some ten times its size.
+PART_TEXTS, PART_CHARS = 64, 1 << 18
 _END = "\0"
 #: Finds a character outside the set.
 _plain = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-ɏ–—‘-”•…€]")
@@ -73,19 +75,26 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as uint32."""
         out: list = [None] * len(texts)
-        split = []
+        part: list[int] = []
+        chars = 0
         for i, t in enumerate(texts):
             if _plain.search(t):
                 out[i] = np.array(self._tokenizer().encode(t, add_special_tokens=False).ids, np.uint32)
-            else:
-                split.append((i, t.lower().split()))
-        for at in range(0, len(split), 64):
-            part = split[at : at + 64]
-            if self.held > CACHE_BYTES:
-                self.known, self.held = {}, 0
-            known = self.known
-            if new := [c for c in set().union(*(cs for _, cs in part)) if c not in known]:
-                self._learn(new)
-            for i, cs in part:
-                out[i] = np.frombuffer(b"".join(map(known.__getitem__, cs)), "<u4")
+                continue
+            if part and (len(part) == PART_TEXTS or chars + len(t) > PART_CHARS):
+                self._look_up(texts, part, out)
+                part, chars = [], 0
+            part.append(i)
+            chars += len(t)
+        self._look_up(texts, part, out)
         return out
+
+    def _look_up(self, texts: list[str], part: list[int], out: list) -> None:
+        """Puts the ids of the texts of a part, which are split only now, into out."""
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        known, split = self.known, [texts[i].lower().split() for i in part]
+        if new := [c for c in set().union(*split) if c not in known]:
+            self._learn(new)
+        for i, cs in zip(part, split, strict=True):
+            out[i] = np.frombuffer(b"".join(map(known.__getitem__, cs)), "<u4")

@@ -187,3 +187,21 @@ def test_hashes_of_windows():
         for a, x in zip(at.tolist(), decontamination._windows(sums, at, n).tolist(), strict=True):
             assert same.setdefault(x, tuple(h[a : a + n])) == tuple(h[a : a + n])
         assert len(same) == len({tuple(h[a : a + n]) for a in at.tolist()})
+
+
+def test_texts_are_split_part_by_part():
+    """Split into words a text takes ten times its size, so a batch is never split as a whole."""
+    import tracemalloc
+
+    import public_tokenizers
+    from parlance.llm.wordbpe import WordIds
+
+    words, rng = WordIds(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    texts = [prose(rng, 500, 900) for _ in range(800)]
+    whole = words.encode(texts)  # all words are known from here on
+    tracemalloc.start()
+    again = words.encode(texts)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert all(map(np.array_equal, whole, again))
+    assert peak - held < 6 << 20
