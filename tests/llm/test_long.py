@@ -205,3 +205,30 @@ def test_texts_are_split_part_by_part():
     tracemalloc.stop()
     assert all(map(np.array_equal, whole, again))
     assert peak - held < 6 << 20
+
+
+def test_lines_meet_only_lines_of_fitting_length():
+    """Rows of a cell that lengths rule out are never paired; those that remain are what a plain search gives."""
+    from parlance.llm import lines, linking
+
+    rng = np.random.default_rng(5)
+    of = np.sort(rng.integers(0, 30, 900))
+    chars = rng.integers(0, 400, 900) * rng.choice([-1, 1], 900)
+    role = rng.integers(0, 3, 900)
+    size, least = lines._within({"chars": chars})
+    asks, there = np.flatnonzero(role > 0), np.flatnonzero(role < 2)
+    low, n, order = linking._fitting(of, size, least, asks, there)
+    got = {(p, q) for p, a, k in zip(asks.tolist(), low.tolist(), n.tolist(), strict=True) for q in order[a : a + k].tolist()}
+    fit = lambda p, q: abs(abs(int(chars[p])) - abs(int(chars[q]))) <= int(0.2 * max(abs(int(chars[p])), abs(int(chars[q]))) + 1e-9)
+    assert got == {(p, q) for p in asks.tolist() for q in there.tolist() if of[p] == of[q] and fit(p, q)}
+    assert len(got) == n.sum()
+
+
+def test_words_of_long_lines_are_not_all_kept():
+    from parlance.llm import lines
+
+    rng = random.Random(6)
+    texts = [prose(rng, 20_000, 900) for _ in range(12)]
+    for t in texts:
+        assert lines._alike(t, t[:-1])
+    assert sum(map(len, lines._words)) <= lines.WORDS_CHARS
