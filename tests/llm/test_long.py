@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pytest
 
-from parlance.llm import decontamination, secrets, tokencounts
+from parlance.llm import decontamination, lines, linking, secrets, tokencounts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long"
 
@@ -232,3 +232,39 @@ def test_words_of_long_lines_are_not_all_kept():
     for t in texts:
         assert lines._alike(t, t[:-1])
     assert sum(map(len, lines._words)) <= lines.WORDS_CHARS
+
+
+def test_edits_of_many_pairs_at_once(monkeypatch):
+    """Short lines are compared many at once, with the same outcome as one by one."""
+    rng = random.Random(6)
+    letters = "abc é日\U0001f600"
+    ones, others, most = [], [], []
+    for n in [0, 1, 5, 63, 64, 65, 100, 127, 128, 129, 300] * 60:
+        a = [rng.choice(letters) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(n // 3 + 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+        ones.append("".join(a)), others.append("".join(b)), most.append(rng.choice([0, 1, n // 5, n]))
+    want = [lines.edit_distance(a, b, m) <= m for a, b, m in zip(ones, others, most)]
+    single = []
+    plain = lines.edit_distance
+    monkeypatch.setattr(lines, "edit_distance", lambda a, b, m: single.append(min(len(a), len(b))) or plain(a, b, m))
+    assert lines.within_edits(ones, others, most).tolist() == want and 100 < sum(want) < 560
+    assert all(n == 0 or n > 64 * lines.COLUMN_WORDS for n in single)
+
+
+def test_pairs_are_verified_many_at_once():
+    """Lines of a bucket are verified together, and what is united already is not verified again."""
+    asked = []
+
+    def alike(xs, ys):
+        asked.append(len(xs))
+        return np.array([x[0] == y[0] for x, y in zip(xs, ys)])
+
+    raw = np.array([f"{'ab'[k % 2]}{k}" for k in range(120)], object)
+    col = {"id": np.arange(120), "label": np.arange(120), "raw": raw}
+    i, j = np.triu_indices(120, 1)
+    links = linking._links(col, i, j, np.zeros(len(i), np.int64), alike, {})
+    assert len(links) == 118 and all(raw[m][0] == raw[n][0] for m, n in links)
+    assert max(asked) > 100 and sum(asked) < len(i)
