@@ -2,7 +2,9 @@
 
 Messages wait in state until the watermark has passed them, and are then taken in id order. They
 wait in runs, each sorted by id and cut into parts of PART messages, and runs are merged part by part, so
-a task holds a part of each run, however many messages a channel sends in one batch. What is
+a task holds a part of each run, however many messages a channel sends in one batch. Batches in the order of ids
+go on with the run before. State is read and written a part at a time, never a message at a time: speakers and texts
+are kept by the task while it takes messages, speakers up to KNOWN of them, and put into state at its end. What is
 kept besides is the open section's number, its last time, the speakers seen in it, and the open
 turn's text. A turn is given once another speaker, or a timer `gap` seconds after the section's last
 message, has closed it. What comes after the watermark has passed its time is late and is given apart.
@@ -25,8 +27,8 @@ from parlance.operators.sessions import GAP_SECONDS
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "channel string, section long, turn_idx long, person_id long, text string, late boolean, id long"
 _COLUMNS = [c.split(" ")[0] for c in OUT.split(", ")]
-#: Messages of a part, and rows that are given at once.
-PART, GIVEN = 64, 5000
+#: Messages of a part, rows that are given at once, and speakers that a task knows without the state.
+PART, GIVEN, KNOWN = 256, 5000, 10_000
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -48,6 +50,7 @@ class _Turns(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        end = None
         for frame in rows:
             late, new = [], []
             for id_, ts, author, bot, text in zip(frame["id"].tolist(), frame["ts_secs"].tolist(), frame["author"], frame["bot"].tolist(), frame["text"], strict=True):
@@ -55,7 +58,7 @@ class _Turns(StatefulProcessor):
                     late.append((key[0], None, None, None, text, True, id_))
                 else:
                     new.append((id_, ts, author, bot, text))
-            self._wait(sorted(new, key=lambda m: m[0]))
+            end = self._wait(sorted(new, key=lambda m: m[0]), end)
             if late:
                 yield _frame(late)
         yield from self._drained(key, passed)
@@ -63,15 +66,18 @@ class _Turns(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._drained(key, timerValues.getCurrentWatermarkInMs())
 
-    def _wait(self, messages: list[tuple]) -> None:
-        """Adds a run of sorted messages to those that wait."""
+    def _wait(self, messages: list[tuple], end: tuple | None = None) -> tuple | None:
+        """Adds sorted messages to those that wait: to the run that ends so (run, parts, last id) if they follow it, or as a run of their own. Gives that run's end."""
         if not messages:
-            return
-        run, least = self.runs.get() if self.runs.exists() else (0, None)
-        for part, at in enumerate(range(0, len(messages), PART)):
-            self.waiting.updateValue((run, part), tuple(map(list, zip(*messages[at : at + PART], strict=True))))
+            return end
+        following, least = self.runs.get() if self.runs.exists() else (0, None)
+        run, parts = end[:2] if end is not None and end[2] < messages[0][0] else (following, 0)
+        for at in range(0, len(messages), PART):
+            self.waiting.updateValue((run, parts), tuple(map(list, zip(*messages[at : at + PART], strict=True))))
+            parts += 1
         times = [m[1] for m in messages] + ([] if least is None else [least])
-        self.runs.update((run + 1, min(times)))
+        self.runs.update((max(following, run + 1), min(times)))
+        return run, parts, messages[-1][0]
 
     def _taken(self) -> Iterator[tuple]:
         """All messages that wait, by id; a part leaves the state when it is read. Of messages with one id the last to come counts."""
@@ -96,44 +102,61 @@ class _Turns(StatefulProcessor):
 
     def _drained(self, key, passed: int) -> Iterator[pd.DataFrame]:
         """Takes what the watermark has passed, closes the section if its time is over, and sets the next timer."""
-        out, wake, pending = [], [], []
+        out, wake, pending, known, new = [], [], [], {}, {}
         least = self.runs.get()[1] if self.runs.exists() else None
         section, last, turn, person, people = self.place.get() if self.place.exists() else (0, None, 0, None, 0)
+        # whether the state holds texts of the open turn, and speakers of the open section
+        said, stored = person is not None and self.said.exists(), people > 0
 
         def close() -> None:
-            nonlocal turn, person
+            nonlocal turn, person, said
             if person is not None:
-                before = [x[0] for x in self.said.get()] if self.said.exists() else []
+                before = [x[0] for x in self.said.get()] if said else []
                 out.append((key[0], section, turn, person, " ".join(before + pending), False, None))
-                if before:
+                if said:
                     self.said.clear()
+                    said = False
                 pending.clear()
                 turn, person = turn + 1, None
 
+        def store() -> None:
+            nonlocal stored
+            for x, who in new.items():
+                self.people.updateValue((x,), (who,))
+            stored = stored or bool(new)
+            new.clear()
+
         ready = least is not None and least * 1000 < passed
         if ready:
             self.runs.update((self.runs.get()[0], None))
-        left = []
+        left, end = [], None
         for id_, ts, author, bot, text in self._taken() if ready else ():
             if ts * 1000 >= passed:
                 left.append((id_, ts, author, bot, text))
                 if len(left) >= GIVEN:
-                    self._wait(left)
+                    end = self._wait(left, end)
                     left = []
                 continue
             if last is not None and ts - last >= self.gap:
                 close()
                 section, turn, people = section + 1, 0, 0
-                self.people.clear()
+                known.clear(), new.clear()
+                if stored:
+                    self.people.clear()
+                    stored = False
             last = ts
             if bot:
                 who = 0
-            elif self.people.containsKey((author,)):
-                who = self.people.getValue((author,))[0]
-            else:
-                people += 1
-                who = people
-                self.people.updateValue((author,), (who,))
+            elif (who := known.get(author)) is None:
+                if len(known) >= KNOWN:
+                    store()
+                    known.clear()
+                if stored and self.people.containsKey((author,)):
+                    who = self.people.getValue((author,))[0]
+                else:
+                    people += 1
+                    who = new[author] = people
+                known[author] = who
             if text:
                 if person is not None and who != person:
                     close()
@@ -142,7 +165,8 @@ class _Turns(StatefulProcessor):
             if len(out) >= GIVEN:
                 yield _frame(out)
                 out.clear()
-        self._wait(left)
+        self._wait(left, end)
+        store()
         if last is not None:
             # a message that would still go on with this section is late from here on
             if (last + self.gap) * 1000 <= passed:

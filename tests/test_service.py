@@ -325,3 +325,46 @@ def test_live_turns_hold_parts_of_a_channel(monkeypatch):
             turns.append([text])
     assert said == [" ".join(t) for t in turns]
     assert ahead[0] < 300 and not waiting.held
+
+
+def test_live_turns_ask_the_state_by_parts(monkeypatch):
+    """Speakers and texts are known to the task, so calls to the state don't grow with messages; few speakers at a time, and state between drains, change nothing."""
+    from parlance.streaming import turns as live
+
+    rng = random.Random(7)
+    rows, t = [], 0
+    for i in range(4000):
+        t += rng.choice([1, 5, 30]) if rng.random() < 0.99 else 1900
+        rows.append((i, t, rng.choice("abcdefgh"), i % 11 == 0, rng.choice(["", f"t{i}"])))
+
+    def told(known, cuts, frames):
+        monkeypatch.setattr(live, "KNOWN", known, raising=False)
+        work, handle = live._Turns(1800), _Handle()
+        work.init(handle)
+        calls = 0
+
+        def counted(f):
+            def call(*args):
+                nonlocal calls
+                calls += 1
+                return f(*args)
+
+            return call
+
+        for state in handle.states:
+            for name in ("exists", "get", "update", "appendList", "updateValue", "getValue", "containsKey", "removeKey", "clear"):
+                setattr(state, name, counted(getattr(state, name)))
+        assert list(work.handleInputRows(("c",), iter([pd.DataFrame(x, columns=["id", "ts_secs", "author", "bot", "text"]) for x in frames]), _Timers(0))) == []
+        runs = len({run for run, _ in handle.states[0].keys()})
+        out = [tuple(r) for passed in cuts for f in work.handleExpiredTimer(("c",), _Timers(passed), None) for r in f[["section", "turn_idx", "person_id", "text"]].itertuples(index=False)]
+        assert not handle.states[0].held
+        return out, calls, runs
+
+    end = (t + 5000) * 1000
+    frames = [rows[i : i + 500] for i in range(0, 4000, 500)]
+    whole, calls, runs = told(10_000, [end], frames)
+    assert runs == 1 and calls < 400 and len(whole) > 1000
+    assert told(2, [end], frames)[0] == whole
+    assert told(10_000, [*range(1000, t * 1000, t * 40), end], frames)[0] == whole
+    mixed = rng.sample(rows, len(rows))
+    assert told(3, [t * 500, end], [mixed[i : i + 500] for i in range(0, 4000, 500)])[0] == whole
