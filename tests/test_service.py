@@ -368,3 +368,32 @@ def test_live_turns_ask_the_state_by_parts(monkeypatch):
     assert told(10_000, [*range(1000, t * 1000, t * 40), end], frames)[0] == whole
     mixed = rng.sample(rows, len(rows))
     assert told(3, [t * 500, end], [mixed[i : i + 500] for i in range(0, 4000, 500)])[0] == whole
+
+
+def test_few_pairs_are_scored_exactly(spark, monkeypatch):
+    """32-bit products rule out most pairs, and whatever they can't tell about is scored in 64 bits."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(3000, 16))
+    rows[5:9] = rows[4] * [[1], [2], [1 + 1e-9], [0]]
+    rows[9:13] = [[1e-200] * 16, [1e200] * 16, [np.nan] * 16, [0] * 15 + [np.inf]]
+    queries = np.vstack([rows[:40], rows[4:5] * 3 + 1e-9])
+    index = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "a long, embedding array<double>").coalesce(2)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)], "query_id long, query array<double>")
+    taken, real = [], type(index).mapInArrow
+    monkeypatch.setattr(type(index), "mapInArrow", lambda self, f, schema: taken.append((self, f)) or real(self, f, schema))
+    got = sorted((r["query_id"], r["rank"], r["a"]) for r in retrieval.top_k_each(index, asked, 5, "a").collect())
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((rows * rows).sum(1))[:, None] * np.sqrt((queries * queries).sum(1))[None]
+        scores = np.where(norms == 0, 0.0, (rows[:, None] * queries[None]).sum(2) / norms)
+    want = []
+    for q in range(len(queries)):
+        fine = [(-scores[i, q], i) for i in range(len(rows)) if np.isfinite(scores[i, q])]
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(sorted(fine)[:5])]
+    assert got == sorted(want)
+    exact, at_least = [], retrieval._at_least
+    monkeypatch.setattr(retrieval, "_at_least", lambda *a: exact.append(at_least(*a)) or exact[-1])
+    monkeypatch.setattr(retrieval, "SCORES", 41 * 200)
+    ((held, run),) = taken
+    list(run(iter(held.toArrow().to_batches())))
+    # two of the queries have finite cosines that only 64 bits tell
+    assert sum(len(i) for i, *_ in exact) < 2 * len(rows) + 0.05 * len(rows) * len(queries)
