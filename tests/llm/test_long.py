@@ -268,3 +268,15 @@ def test_pairs_are_verified_many_at_once():
     links = linking._links(col, i, j, np.zeros(len(i), np.int64), alike, {})
     assert len(links) == 118 and all(raw[m][0] == raw[n][0] for m, n in links)
     assert max(asked) > 100 and sum(asked) < len(i)
+
+
+def test_edits_of_long_lines_come_in_parts(monkeypatch):
+    """Normal forms that wait for their edits to be counted hold a bounded number of characters."""
+    rng = random.Random(9)
+    ones = [prose(rng, 60, 50) for _ in range(200)]
+    others = [x[:40] + "zz" + x[40:] if k % 2 else prose(rng, 60, 50) for k, x in enumerate(ones)]
+    whole, waiting, plain = lines._alikes(ones, others), [], lines.within_edits
+    monkeypatch.setattr(lines, "WORDS_CHARS", 2000)
+    monkeypatch.setattr(lines, "within_edits", lambda a, b, m: waiting.append(sum(map(len, a + b))) or plain(a, b, m))
+    assert lines._alikes(ones, others).tolist() == whole.tolist() and whole[1::2].all()
+    assert waiting and max(waiting) < 3000
